@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from labspark.plans import queries_reports, queries_tables, queries_text
+from labspark.plans import queries_quality, queries_reports, queries_reshape, queries_tables, queries_text
 from labspark.plans.registered import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "queries_reports", "queries_tables", "queries_text"]
+__all__ = ["QUERIES", "SQL", "queries_quality", "queries_reports", "queries_reshape", "queries_tables", "queries_text"]
