@@ -157,10 +157,10 @@ def link_rows(spark, folder):
 )
 def binning_vocab(spark, folder):
     """Vocabulary of every snapshot after rare values are binned; stored as one list per snapshot."""
-    return _vocabularies(spark, folder, 135).withColumn("vocabulary", F.array_join("vocabulary", "|"))
+    return snapshot_vocabularies(spark, folder, 135).withColumn("vocabulary", F.array_join("vocabulary", "|"))
 
 
-def _vocabularies(spark, folder, k):
+def snapshot_vocabularies(spark, folder, k):
     # Counted per batch first: only these counts, not the lines, meet the snapshots.
     items = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("report_id"), "l_partkey")
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
@@ -187,7 +187,7 @@ def _vocabularies(spark, folder, k):
 )
 def vocab_union(spark, folder):
     """Values allowed by any of the latest two snapshots (one per panel)."""
-    return _vocabularies(spark, folder, 900).filter("version >= 6").select(F.explode("vocabulary").alias("name")).distinct()
+    return snapshot_vocabularies(spark, folder, 900).filter("version >= 6").select(F.explode("vocabulary").alias("name")).distinct()
 
 
 @query(
