@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labspark.operators.numbering import number_rows
-from labspark.session import bounded
+from labspark.session import bounded, small
 
 
 def lookup_or_other(
@@ -34,6 +34,10 @@ def new_members(facts: DataFrame, column: str, dimension: DataFrame) -> DataFram
 def assign_keys(names: DataFrame, dimension: DataFrame, name: str = "name") -> DataFrame:
     """Number new members after the largest id in use, in name order."""
     last = dimension.agg(F.max("id")).first()[0] or 0
+    few = small(names)
+    if few is not None:
+        number = F.row_number().over(Window.orderBy(name)) + F.lit(last)
+        return few.withColumn("id", number.cast("long"))
     return number_rows(names, [F.col(name)], "id", start=last + 1)
 
 

@@ -42,7 +42,12 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _pick_pivots(base: DataFrame, count: int) -> np.ndarray:
-    """A few base vectors, chosen by hash so that every run picks the same ones."""
+    """A few base vectors, chosen by hash so that every run picks the same ones.
+
+    Any point can be a pivot; a single cell is measured from the origin.
+    """
+    if count == 1:
+        return np.zeros((1, 1))
     rows = base.select("vec").orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
     return _matrix(rows.column("vec"))
 

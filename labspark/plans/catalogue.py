@@ -1,6 +1,24 @@
 """All registered queries; importing the modules registers them."""
 
-from labspark.plans import queries_models, queries_quality, queries_reports, queries_resample, queries_reshape, queries_tables, queries_text
+from labspark.plans import (
+    queries_models,
+    queries_quality,
+    queries_reports,
+    queries_resample,
+    queries_reshape,
+    queries_tables,
+    queries_text,
+)
 from labspark.plans.registered import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "queries_models", "queries_quality", "queries_reports", "queries_resample", "queries_reshape", "queries_tables", "queries_text"]
+__all__ = [
+    "QUERIES",
+    "SQL",
+    "queries_models",
+    "queries_quality",
+    "queries_reports",
+    "queries_resample",
+    "queries_reshape",
+    "queries_tables",
+    "queries_text",
+]

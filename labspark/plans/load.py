@@ -84,31 +84,30 @@ def ingest(
     follow `last_report_id` in line order. `labels` are the answer ids to split for;
     without them all answers of the panel after the load.
     """
-    base = checkpointed(normalise(upload))
-    genus = checkpointed(get_or_create(base, "bacteria_genus", dims.bacteria_genus))
-    sample = checkpointed(get_or_create(base, "submitted_sample", dims.submitted_sample))
+    upload = checkpointed(upload)  # read and parsed once
+    base = normalise(upload)
+    genus = bounded(get_or_create(base, "bacteria_genus", dims.bacteria_genus))
+    sample = bounded(get_or_create(base, "submitted_sample", dims.submitted_sample))
 
     numbered = number_rows(base, [F.col("line_no")], "report_id", last_report_id + 1)
     keyed = lookup_or_other(numbered, "species", dims.species, "species_id")
     keyed = with_ids(keyed, "bacteria_genus", genus, "bacteria_genus_id")
     keyed = with_ids(keyed, "submitted_sample", sample, "submitted_sample_id")
-    report = checkpointed(
-        keyed.select(
-            "report_id", "line_no", "hn", "date_of_submission", "report_issued_date", "species_id",
-            "bacteria_genus_id", "submitted_sample_id", F.lit(panel).alias("vitek_id"), F.lit(file_id).alias("file_id"),
-        )
+    report = keyed.select(
+        "report_id", "line_no", "hn", "date_of_submission", "report_issued_date", "species_id",
+        "bacteria_genus_id", "submitted_sample_id", F.lit(panel).alias("vitek_id"), F.lit(file_id).alias("file_id"),
     )
     report = split_by_case(report, seed=seed)
     ids = report.select("line_no", "report_id")
 
     symbols = melt_symbols(upload, ["line_no"])
-    drugs = checkpointed(sir_drugs(symbols, dims.antimicrobial_sir))
-    drug_ids = bounded(drugs.select(F.col("id").alias("antimicrobial_id"), "name", "sir_type_id"))
+    drugs = bounded(sir_drugs(symbols, dims.antimicrobial_sir))
+    drug_ids = drugs.select(F.col("id").alias("antimicrobial_id"), "name", "sir_type_id")
     typed = with_sub_type(symbols.join(drug_ids, "name"), dims.sir_sub_type)
     report_sir = typed.join(ids, "line_no").select("report_id", "antimicrobial_id", "sir_sub_id")
 
     flags = melt_flags(upload, ["line_no"])
-    answers = checkpointed(get_or_create(flags, "name", dims.antimicrobial_answer))
+    answers = bounded(get_or_create(flags, "name", dims.antimicrobial_answer))
     report_answer = (
         with_ids(flags, "name", answers, "antimicrobial_id").join(ids, "line_no").select("report_id", "antimicrobial_id")
     )

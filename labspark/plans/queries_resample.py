@@ -21,6 +21,11 @@ def vectors(spark, folder):
     )
 
 
+def rare_and_rest(spark, folder):
+    """The same rows with two classes: label 0 and all others."""
+    return vectors(spark, folder).withColumn("label", (F.col("label") == 0).cast("int"))
+
+
 # Every pair of rows with its squared distance, and ranked neighbour lists.
 _PAIRS = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::double) AS vec FROM embeddings),
   sizes AS (SELECT label, count(*) AS n FROM v GROUP BY label),
@@ -31,6 +36,7 @@ _PAIRS = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x
   near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nid) AS r FROM pairs),
   own AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nid) AS r FROM pairs WHERE label = nlabel),
   minority AS (SELECT v.*, n, n_top, n_top - n AS missing FROM v JOIN sizes USING (label), top WHERE label <> top_label)"""
+_TWO_CLASSES = _PAIRS.replace("AS id, label, list_transform", "AS id, (label = 0)::int AS label, list_transform")
 # Number in [0, 1) from eight hex digits of a text.
 _HEX = "CAST(concat('0x', substr({t}, {i}, 8)) AS BIGINT) / 4294967296.0::double"
 
@@ -90,38 +96,38 @@ _FOREIGN = "count(*) FILTER (WHERE nlabel <> minority.label AND r <= {m}) AS n_o
 
 @query(
     "borderline_danger",
-    f"""WITH {_PAIRS}, counted AS (SELECT minority.id, minority.label, {_FOREIGN.format(m=10)}
+    f"""WITH {_TWO_CLASSES}, counted AS (SELECT minority.id, minority.label, {_FOREIGN.format(m=10)}
       FROM minority JOIN near USING (id) GROUP BY minority.id, minority.label)
     SELECT id, label, n_other, n_other >= 5 AND n_other < 10 AS danger FROM counted""",
 )
 def borderline_danger(spark, folder):
-    return rs.borderline_danger(vectors(spark, folder)).select("id", "label", "n_other", "danger")
+    return rs.borderline_danger(rare_and_rest(spark, folder)).select("id", "label", "n_other", "danger")
 
 
 @query("borderline_smote")
 def borderline_smote(spark, folder):
-    return _shown(rs.borderline_smote(vectors(spark, folder)))
+    return _shown(rs.borderline_smote(rare_and_rest(spark, folder)))
 
 
 @query(
     "adasyn_plan",
-    f"""WITH {_PAIRS}, counted AS (SELECT minority.id, minority.label, missing, {_FOREIGN.format(m=5)}
+    f"""WITH {_TWO_CLASSES}, counted AS (SELECT minority.id, minority.label, missing, {_FOREIGN.format(m=5)}
       FROM minority JOIN near USING (id) GROUP BY minority.id, minority.label, missing)
     SELECT id, label, n_other, coalesce(round_even(n_other * missing / nullif(sum(n_other) OVER (PARTITION BY label), 0)::double, 0), 0)::bigint AS turns
     FROM counted""",
 )
 def adasyn_plan(spark, folder):
-    return rs.adasyn_plan(vectors(spark, folder)).select("id", "label", "n_other", "turns")
+    return rs.adasyn_plan(rare_and_rest(spark, folder)).select("id", "label", "n_other", "turns")
 
 
 @query("adasyn")
 def adasyn(spark, folder):
-    return _shown(rs.adasyn(vectors(spark, folder)))
+    return _shown(rs.adasyn(rare_and_rest(spark, folder)))
 
 
 @query("svm_smote")
 def svm_smote(spark, folder):
-    return _shown(rs.svm_smote(vectors(spark, folder)))
+    return _shown(rs.svm_smote(rare_and_rest(spark, folder)))
 
 
 _DENSE = f"""{_PAIRS},
@@ -192,21 +198,26 @@ def rsmote(spark, folder):
 
 @query("train_score")
 def train_score(spark, folder):
-    """One boosted-tree model per label: balanced, fitted, saved, read back and scored."""
+    """One boosted-tree model per label on balanced rows: fitted, saved, read back and scored."""
     rows = checkpointed(vectors(spark, folder))
+    balanced = checkpointed(
+        rs.smote(rows)
+        .select("label", "vec")
+        .unionByName(rows.select("label", "vec"))
+        .select("label", array_to_vector("vec").alias("features"))
+    )
+    cases = rows.select("id", "label", array_to_vector("vec").alias("features"))
     root = scratch_path(spark, "models")
     scored = None
     for label in distinct_values(rows, "label"):
-        binary = rows.select("id", (F.col("label") == label).cast("int").alias("label"), "vec")
-        data = rs.smote(binary).select("label", "vec").unionByName(binary.select("label", "vec"))
-        data = data.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("y"))
         gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=5, maxDepth=3, seed=0)
+        data = balanced.withColumn("y", (F.col("label") == label).cast("double"))
         path = f"{root}/{label}"
-        Pipeline(stages=[gbt]).fit(checkpointed(data)).write().save(path)
-        part = (
-            PipelineModel.load(path)
-            .transform(binary.withColumn("features", array_to_vector("vec")))
-            .select(F.lit(label).alias("model"), F.col("label").alias("truth"), vector_to_array("probability")[1].alias("score"))
+        Pipeline(stages=[gbt]).fit(data).write().save(path)
+        part = PipelineModel.load(path).transform(cases).select(
+            F.lit(label).alias("model"),
+            (F.col("label") == label).alias("truth"),
+            vector_to_array("probability")[1].alias("score"),
         )
         scored = part if scored is None else scored.unionByName(part)
-    return binary_metrics(scored, F.col("truth") == 1, F.col("score"), ["model"])
+    return binary_metrics(scored, F.col("truth"), F.col("score"), ["model"])

@@ -65,16 +65,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it has at most `max_rows` rows, else return it as it is.
+def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """`df` as a local table if it has at most `max_rows` rows, else None.
 
-    At most max_rows + 1 rows reach the driver. A larger table keeps its plan and
-    joins by shuffle, where adaptive execution splits hot partitions.
+    At most max_rows + 1 rows reach the driver.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+        return None
+    return df.sparkSession.createDataFrame(head, schema=df.schema)
+
+
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast `df` if it has at most `max_rows` rows, else return it as it is.
+
+    A larger table keeps its plan and joins by shuffle, where adaptive execution splits
+    hot partitions.
+    """
+    local = small(df, max_rows)
+    return df if local is None else F.broadcast(local)
 
 
 def distinct_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
