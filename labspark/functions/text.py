@@ -18,9 +18,16 @@ MISSING_TOKENS = (
 )
 
 
+# The characters taken as white space.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
-    """Remove white space of any kind at both ends (trim() only removes blanks)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Remove white space of any kind at both ends (trim() alone only removes blanks)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def lower_strip(col: Column) -> Column:
@@ -29,7 +36,7 @@ def lower_strip(col: Column) -> Column:
 
 def first_token(col: Column) -> Column:
     """First word; null for a text without any word."""
-    return F.nullif(F.regexp_extract(col, r"(?U)\S+", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(col, f"[^{WHITE_SPACE}]+", 0), F.lit(""))
 
 
 def is_blank(col: Column) -> Column:

@@ -115,7 +115,9 @@ def _route(queries: DataFrame, pivots: np.ndarray, summary: dict[str, list[tuple
                     continue
                 rows = np.flatnonzero(scopes == scope)
                 near = to_pivot[rows]
-                upper = np.concatenate([near[:, [cell]] + np.asarray(inner) for cell, _, _, _, inner in parts], axis=1)
+                upper = np.concatenate(
+                    [near[:, [cell]] + np.asarray(inner, dtype=float) for cell, _, _, _, inner in parts], axis=1
+                )
                 bound = (
                     np.partition(upper, k - 1, axis=1)[:, k - 1]
                     if upper.shape[1] >= k
@@ -123,7 +125,7 @@ def _route(queries: DataFrame, pivots: np.ndarray, summary: dict[str, list[tuple
                 )
                 for cell, blocks, low, high, _ in parts:
                     d = near[:, cell]
-                    room = _SLACK * (1.0 + d + high)
+                    room = _SLACK * (1.0 + d + (high if np.isfinite(high) else 0.0))
                     visit = np.flatnonzero((d - high <= bound + room) & (low - d <= bound + room))
                     for start in range(0, len(visit), QUERY_BLOCK_ROWS):
                         picked = rows[visit[start : start + QUERY_BLOCK_ROWS]]
@@ -195,10 +197,14 @@ def nearest(
 
     reach = k + 1  # one more, because a row may meet itself
     folded = checkpointed(top_rows(points, ["scope", "vec"], [F.col("id")], reach).drop("rank"))
-    count = folded.count()
-    pivots = _pick_pivots(folded, max(1, min(MAX_PIVOTS, count // ROWS_PER_PIVOT)))
-    cells = _assign_cells(folded, pivots)
-    summary = _cell_summaries(cells, reach)
+    counts = {r.scope: r["count"] for r in folded.groupBy("scope").count().collect()}
+    pivots = _pick_pivots(folded, max(1, min(MAX_PIVOTS, sum(counts.values()) // ROWS_PER_PIVOT)))
+    if len(pivots) == 1:  # nothing to leave out: every query meets all rows of its scope
+        cells = folded.withColumn("cell", F.lit(0))
+        summary = {s: [(0, -(-n // BLOCK_ROWS), 0.0, np.inf, [])] for s, n in counts.items()}
+    else:
+        cells = _assign_cells(folded, pivots)
+        summary = _cell_summaries(cells, reach)
 
     asked = rows.groupBy("scope", "vec").agg(F.min("id").alias("id"))
     visits = _route(asked, pivots, summary, reach).select(

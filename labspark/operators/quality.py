@@ -104,9 +104,9 @@ def with_ranges(lines: DataFrame, stage_no: int, stage: str, line: str = "line_n
     )
 
 
-def value_issues(df: DataFrame, panel: str) -> DataFrame:
-    checks = blank_checks(df) + date_checks() + flag_checks(df) + panel_checks(panel)
-    return with_ranges(failing_lines(df, checks), 3, "value")
+def value_faults(df: DataFrame, panel: str) -> DataFrame:
+    """Lines with a blank cell, bad date, bad flag or wrong panel."""
+    return failing_lines(df, blank_checks(df) + date_checks() + flag_checks(df) + panel_checks(panel))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,8 +147,8 @@ def duplicates_of_stored(df: DataFrame, stored: DataFrame, keys: list[str]) -> D
     return semi_on(df, stored.select(*keys).distinct(), keys)
 
 
-def duplicate_issues(df: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Duplicates inside the batch and of stored reports (both sides brought to one form)."""
+def duplicate_faults(df: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Lines that repeat another line of the batch or a stored report (both brought to one form)."""
     tag = lambda rows, code: rows.select(
         "line_no", F.lit(code).alias("code"), F.lit(None).cast("string").alias("column")
     )
@@ -159,7 +159,7 @@ def duplicate_issues(df: DataFrame, stored: DataFrame | None) -> DataFrame:
         lines = lines.unionByName(
             tag(duplicates_of_stored(df.withColumns(identity(df)), old, keys), "duplicate_of_stored")
         )
-    return with_ranges(lines, 4, "duplicate")
+    return lines
 
 
 def quality_report(
@@ -169,17 +169,13 @@ def quality_report(
 
     Later stages do not run once one has failed; no rows means the batch may be loaded.
     """
-    stages = (
-        lambda: amount_issues(df, min_rows),
-        lambda: column_issues(df),
-        lambda: value_issues(df, panel),
-        lambda: duplicate_issues(df, stored),
-    )
-    for stage in stages[:-1]:
-        issues = stage()
+    for issues in (amount_issues(df, min_rows), column_issues(df)):
         if not issues.isEmpty():
             return issues
-    return stages[-1]()
+    faults = value_faults(df, panel)
+    if not faults.isEmpty():  # stops at the first fault found
+        return with_ranges(faults, 3, "value")
+    return with_ranges(duplicate_faults(df, stored), 4, "duplicate")
 
 
 def new_values(values: DataFrame, known: DataFrame, column: str) -> DataFrame:
