@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labspark.functions.text import clean_specimen, first_token, lower_strip
-from labspark.functions.values import parse_date
+from labspark.functions.values import PANELS, parse_date
 from labspark.operators.dims import assign_keys, get_or_create, lookup_or_other, with_ids
 from labspark.operators.numbering import number_rows
+from labspark.operators.quality import new_value_report, quality_report
 from labspark.operators.reshape import infer_symbol_type, melt_flags, melt_symbols, with_sub_type
 from labspark.operators.split import split_by_case, split_by_label
 from labspark.session import bounded, checkpointed, distinct_values
@@ -125,6 +126,31 @@ def ingest(
     )
 
 
+def process_upload(
+    upload: DataFrame,
+    dims: Dimensions,
+    panel: int,
+    file_id: int,
+    folder: str,
+    stored: DataFrame | None = None,
+    last_report_id: int = 0,
+    labels: list[int] | None = None,
+) -> tuple[str, DataFrame, Batch | None]:
+    """Check an upload, then load and append it.
+
+    Returns 'fail' with the issues, or 'success' with the new-value warnings and the batch.
+    `stored` is the wide report of the active batches; without it nothing counts as stored.
+    """
+    upload = checkpointed(upload)
+    issues = checkpointed(quality_report(upload, PANELS[panel], stored))
+    if not issues.isEmpty():
+        return "fail", issues, None
+    warnings = None if stored is None else checkpointed(new_value_report(upload, stored))
+    batch = ingest(upload, dims, panel, file_id, last_report_id, labels)
+    append_batch(batch, folder)
+    return "success", issues if warnings is None else warnings, batch
+
+
 def append_batch(batch: Batch, folder: str) -> None:
     """Append the facts; reports are partitioned by batch so that snapshots prune."""
     for name, rows in batch.tables().items():

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 50_000
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -69,18 +70,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """`df` as a local table if it has at most `max_rows` rows, else None.
+    """`df` as a local table if it has at most `max_rows` rows and 32 MB, else None.
 
     At most max_rows + 1 rows reach the driver.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > MAX_BROADCAST_BYTES:
         return None
     return df.sparkSession.createDataFrame(head, schema=df.schema)
 
 
 def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it has at most `max_rows` rows, else return it as it is.
+    """Broadcast `df` if it is small in rows and bytes, else return it as it is.
 
     A larger table keeps its plan and joins by shuffle, where adaptive execution splits
     hot partitions.

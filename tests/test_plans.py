@@ -7,6 +7,7 @@ from labspark.operators import reshape
 from labspark.plans import load, train
 from labspark.session import scratch_path
 from labspark.sources.tables import in_list, read_csv
+from labspark.streaming.uploads import process_uploads, upload_stream
 from tests.test_operators import upload
 
 
@@ -31,6 +32,37 @@ def test_csv_keeps_lines_zeros_and_missing(spark):
     assert got == [("007", None, 2), ("8", "x", 3), (None, None, 4)]
 
 
+def test_upload_stream_takes_files_one_by_one(spark):
+    path = scratch_path(spark, "arriving")
+    for name, n in (("a", 3), ("b", 2)):
+        part = spark.range(n).select(F.concat(F.lit(name), "id").alias("hn"), F.lit("NA").alias("v"))
+        part.coalesce(1).write.mode("append").option("header", True).csv(path)
+    seen = {}
+
+    def handle(upload, file_id):
+        seen[file_id] = [tuple(r) for r in upload.orderBy("line_no").collect()]
+
+    process_uploads(upload_stream(spark, path), handle, once=True).awaitTermination(120)
+    assert seen == {
+        0: [("a0", None, 2), ("a1", None, 3), ("a2", None, 4)], 1: [("b0", None, 2), ("b1", None, 3)],
+    }
+
+
+def test_process_upload(spark):
+    folder = scratch_path(spark, "store")
+    bad = upload(spark, changes={(4, "hn"): ""})
+    status, issues, batch = load.process_upload(bad, dimensions(spark), 1, 1, folder)
+    assert status == "fail" and issues.first().lines == "4" and batch is None
+    stored = upload(spark, 1).withColumn("date_of_submission", F.lit("2001-01-01").cast("date")).withColumn(
+        "report_issued_date", F.lit("2001-01-02").cast("date")
+    )
+    status, warnings, batch = load.process_upload(
+        upload(spark, changes={(5, "submitted_sample"): "Tail"}), dimensions(spark), 1, 1, folder, stored
+    )
+    assert status == "success" and [tuple(r) for r in warnings.collect()] == [("submitted_sample", "tail")]
+    assert spark.read.parquet(f"{folder}/report").count() == 300
+
+
 def test_empty_list_gives_no_rows(spark):
     assert in_list(spark.range(3), "id", []).count() == 0
 
