@@ -54,11 +54,12 @@ def log_order(finish: str, start: str, key: str) -> list[Column]:
 def with_results(logs: DataFrame, results: DataFrame, key: str, type_column: str, detail: str) -> DataFrame:
     """One row per log and detail; a log without details has the type 'success'.
 
-    Details stay rows: a log may hold any number of them.
+    Details stay rows: a log may hold any number of them, and the inner join lets adaptive
+    execution split the details of a hot log. Logs without details are added apart.
     """
-    return logs.join(results, key, "left").withColumn(
-        type_column, F.coalesce(F.col(type_column), F.lit("success"))
-    ).withColumn("has_detail", F.col(detail).isNotNull())
+    found = results.join(logs, key)
+    silent = logs.join(results.select(key).distinct(), key, "left_anti").withColumn(type_column, F.lit("success"))
+    return found.unionByName(silent, allowMissingColumns=True).withColumn("has_detail", F.col(detail).isNotNull())
 
 
 def queue_head(log: DataFrame, queue: str, key: str, status: str, waiting: tuple[str, ...]) -> DataFrame:

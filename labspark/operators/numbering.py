@@ -67,14 +67,14 @@ def running_totals(
 def line_ranges(lines: DataFrame, group: list[str], line: str, bucket_size: int = 65_536) -> DataFrame:
     """Consecutive line numbers per group as ranges: group columns, lo, hi, text.
 
-    Runs are found inside fixed buckets of line numbers, with one shuffle by group and
-    bucket. Only runs that touch a bucket border, at most two per bucket, meet again.
+    Copies of a line are dropped before the shuffle. Runs are found inside fixed buckets
+    of line numbers; only runs that touch a bucket border, at most two per bucket, meet
+    again to be joined.
     """
     rows = (
         lines.select(*group, F.col(line).cast("long").alias("_n"))
-        .withColumn("_b", F.expr(f"_n div {bucket_size}"))
-        .repartition(*group, "_b")
         .distinct()
+        .withColumn("_b", F.expr(f"_n div {bucket_size}"))
     )
     position = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_n"))
     runs = (

@@ -58,13 +58,28 @@ def pivot_symbols(long: DataFrame, key: str, name: str, symbol: str, names: list
     return wide.select(key, *[F.col(quoted(n)).alias(RESULT_PREFIX + n) for n in names])
 
 
-def wide_report(
-    reports: DataFrame, flags: DataFrame, symbols: DataFrame, key: str = "report_id"
-) -> DataFrame:
+def pivot_facts(long: DataFrame, key: str, name: str, symbol: str, flag: str, names: list[str]) -> DataFrame:
+    """Answer and result columns from one table of facts, in one aggregate.
+
+    A name has the answer if any of its rows has the flag; several symbols give the largest.
+    """
+    shown = long.withColumn(symbol, name_to_symbol(F.col(symbol)))
+    wide = shown.groupBy(key).pivot(name, names).agg(F.bool_or(flag).alias("flag"), F.max(symbol).alias("symbol"))
+    return wide.select(
+        key,
+        *[F.coalesce(F.col(quoted(f"{n}_flag")), F.lit(False)).alias(ANSWER_PREFIX + n) for n in names],
+        *[F.col(quoted(f"{n}_symbol")).alias(RESULT_PREFIX + n) for n in names],
+    )
+
+
+def wide_report(reports: DataFrame, *pivots: DataFrame, key: str = "report_id") -> DataFrame:
     """Reports with all answer and result columns; absent answers false, absent results ''."""
-    answers = {c: F.coalesce(F.col(quoted(c)), F.lit(False)) for c in columns_with_prefix(flags, ANSWER_PREFIX)}
-    results = {c: F.coalesce(F.col(quoted(c)), F.lit("")) for c in columns_with_prefix(symbols, RESULT_PREFIX)}
-    return reports.join(flags, key, "left").join(symbols, key, "left").withColumns({**answers, **results})
+    wide = reports
+    for pivot in pivots:
+        wide = wide.join(pivot, key, "left")
+    answers = {c: F.coalesce(F.col(quoted(c)), F.lit(False)) for c in columns_with_prefix(wide, ANSWER_PREFIX)}
+    results = {c: F.coalesce(F.col(quoted(c)), F.lit("")) for c in columns_with_prefix(wide, RESULT_PREFIX)}
+    return wide.withColumns({**answers, **results})
 
 
 def infer_symbol_type(symbols: DataFrame, keys: list[str], symbol: str = "symbol") -> DataFrame:

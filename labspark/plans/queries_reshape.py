@@ -45,10 +45,8 @@ def wide_symbols(spark, folder):
 
 
 def _wide(spark, folder):
-    names = roles.labels(spark, folder)
-    flags = reshape.pivot_flags(roles.answers(spark, folder), "report_id", "label", names)
-    results = reshape.pivot_symbols(_coded(spark, folder), "report_id", "label", "symbol", names)
-    return reshape.wide_report(roles.reports(spark, folder), flags, results)
+    facts = roles.wide_facts(spark, folder, {"A": "+", "N": "n/a"})
+    return reshape.wide_report(roles.reports(spark, folder), facts)
 
 
 _WIDE = f"""{REPORTS}, {LINES}, {SYMBOLS}, {ANSWERS}, {_CODED},

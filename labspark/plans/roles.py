@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labspark.functions.values import recode
 from labspark.operators.metrics import binary_metrics
+from labspark.operators.reshape import RESULT_PREFIX, columns_with_prefix, pivot_facts, quoted
 from labspark.session import bounded, distinct_values
 from labspark.sources.tables import table
 
@@ -92,10 +94,19 @@ def model_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return bounded(counts)
 
 
+def wide_facts(spark: SparkSession, folder: str, coding: dict[str, str]) -> DataFrame:
+    """Answers and results per report from one pass over the line items.
+
+    The largest flag of a report and drug counts, so flags are coded after the pivot.
+    """
+    facts = lines(spark, folder).withColumn("open", F.col("l_linestatus") == "O")
+    wide = pivot_facts(facts, "report_id", "label", "l_returnflag", "open", labels(spark, folder))
+    coded = {c: recode(F.col(quoted(c)), coding) for c in columns_with_prefix(wide, RESULT_PREFIX)}
+    return wide.withColumns(coded)
+
+
 def upload(spark: SparkSession, folder: str) -> DataFrame:
     """A wide upload as it would come from a file: all texts, one line per report."""
-    from labspark.operators.reshape import pivot_flags, pivot_symbols, quoted
-
     names = labels(spark, folder)
     base = reports(spark, folder).select(
         "report_id",
@@ -108,12 +119,7 @@ def upload(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("Rt. "), F.col("sample"), F.lit(" (swab)")).alias("submitted_sample"),
         F.when(F.col("panel") == 1, "gn").otherwise("GN").alias("vitek_id"),
     )
-    flags = pivot_flags(answers(spark, folder), "report_id", "label", names)
-    coded = symbols(spark, folder).withColumn(
-        "symbol", F.when(F.col("symbol") == "A", "+").when(F.col("symbol") == "N", "S").otherwise("R")
-    )
-    results = pivot_symbols(coded, "report_id", "label", "symbol", names)
-    wide = base.join(flags, "report_id", "left").join(results, "report_id", "left")
+    wide = base.join(wide_facts(spark, folder, FLAG_SYMBOLS), "report_id", "left")
     return wide.select(
         *[c for c in base.columns if c != "report_id"],
         *[F.col(quoted(f"S/I/R_{n}")) for n in names],
