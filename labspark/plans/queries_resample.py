@@ -50,17 +50,25 @@ def knn_join(spark, folder):
     return nearest(rows, rows, 5, "id", "vec").select("id", "neighbor_id", "rank", F.round("d2", 6).alias("d2"))
 
 
-_SMOTE = f"""{_PAIRS},
-  places AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS pos FROM minority),
-  plan AS (SELECT *, missing // n + CASE WHEN pos <= missing % n THEN 1 ELSE 0 END AS turns FROM places),
-  turns AS (SELECT id, label, vec, turn, md5('0|' || id || '|' || turn) AS t
-    FROM (SELECT *, unnest(range(1, turns + 1)) AS turn FROM plan)),
-  lists AS (SELECT id, list(nid ORDER BY r) AS near FROM own WHERE r <= 5 GROUP BY id),
+def _synthetic_sql(plan: str, near: str) -> str:
+    """CTEs from a plan (id, label, vec, turns) and ranked neighbours (id, nid, r) to synthetic rows."""
+    return f"""turns AS (SELECT id, label, vec, turn, md5('0|' || id || '|' || turn) AS t
+    FROM (SELECT *, unnest(range(1, turns + 1)) AS turn FROM {plan})),
+  lists AS (SELECT id, list(nid ORDER BY r) AS near FROM {near} WHERE r <= 5 GROUP BY id),
   picked AS (SELECT t.*, near[1 + floor({_HEX.format(t="t", i=1)} * len(near))::int] AS neighbor_id, {_HEX.format(t="t", i=9)} AS gap
     FROM turns t JOIN lists USING (id)),
   synthetic AS (SELECT p.label, p.id, CAST(turn AS INTEGER) AS turn, neighbor_id, gap,
       list_transform(list_zip(p.vec, e.vec), lambda z: z[1] + gap * (z[2] - z[1])) AS vec
     FROM picked p JOIN v e ON e.id = neighbor_id)"""
+
+
+def _in_turn_sql(rows: str) -> str:
+    return f"""places AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS pos,
+      count(*) OVER (PARTITION BY label) AS in_class FROM {rows}),
+  plan AS (SELECT *, missing // in_class + CASE WHEN pos <= missing % in_class THEN 1 ELSE 0 END AS turns FROM places)"""
+
+
+_SMOTE = f"{_PAIRS}, {_in_turn_sql('minority')}, {_synthetic_sql('plan', 'own')}"
 _SHOW = """SELECT label, id, turn, neighbor_id, round(gap, 6) AS gap, round(vec[1], 6) AS first_x, round(vec[64], 6) AS last_x,
   round(list_sum(vec), 5) AS sum_x FROM synthetic"""
 
@@ -94,33 +102,43 @@ def smote_rounded(spark, folder):
 _FOREIGN = "count(*) FILTER (WHERE nlabel <> minority.label AND r <= {m}) AS n_other"
 
 
+def _counted_sql(m: int) -> str:
+    return f"""counted AS (SELECT minority.id, minority.label, missing, {_FOREIGN.format(m=m)}
+      FROM minority JOIN near USING (id) GROUP BY minority.id, minority.label, missing)"""
+
+
 @query(
     "borderline_danger",
-    f"""WITH {_TWO_CLASSES}, counted AS (SELECT minority.id, minority.label, {_FOREIGN.format(m=10)}
-      FROM minority JOIN near USING (id) GROUP BY minority.id, minority.label)
+    f"""WITH {_TWO_CLASSES}, {_counted_sql(10)}
     SELECT id, label, n_other, n_other >= 5 AND n_other < 10 AS danger FROM counted""",
 )
 def borderline_danger(spark, folder):
     return rs.borderline_danger(rare_and_rest(spark, folder)).select("id", "label", "n_other", "danger")
 
 
-@query("borderline_smote")
+@query(
+    "borderline_smote",
+    f"""WITH {_TWO_CLASSES}, {_counted_sql(10)}, danger AS (SELECT minority.* FROM minority JOIN counted USING (id)
+      WHERE n_other >= 5 AND n_other < 10), {_in_turn_sql("danger")}, {_synthetic_sql("plan", "own")} {_SHOW}""",
+)
 def borderline_smote(spark, folder):
     return _shown(rs.borderline_smote(rare_and_rest(spark, folder)))
 
 
-@query(
-    "adasyn_plan",
-    f"""WITH {_TWO_CLASSES}, counted AS (SELECT minority.id, minority.label, missing, {_FOREIGN.format(m=5)}
-      FROM minority JOIN near USING (id) GROUP BY minority.id, minority.label, missing)
-    SELECT id, label, n_other, coalesce(round_even(n_other * missing / nullif(sum(n_other) OVER (PARTITION BY label), 0)::double, 0), 0)::bigint AS turns
-    FROM counted""",
-)
+_ADASYN = f"""{_TWO_CLASSES}, {_counted_sql(5)}, adasyn AS (SELECT id, label, n_other,
+  coalesce(round_even(n_other * missing / nullif(sum(n_other) OVER (PARTITION BY label), 0)::double, 0), 0)::bigint AS turns
+  FROM counted)"""
+
+
+@query("adasyn_plan", f"WITH {_ADASYN} SELECT id, label, n_other, turns FROM adasyn")
 def adasyn_plan(spark, folder):
     return rs.adasyn_plan(rare_and_rest(spark, folder)).select("id", "label", "n_other", "turns")
 
 
-@query("adasyn")
+@query(
+    "adasyn",
+    f"""WITH {_ADASYN}, plan AS (SELECT adasyn.*, vec FROM adasyn JOIN v USING (id)), {_synthetic_sql("plan", "own")} {_SHOW}""",
+)
 def adasyn(spark, folder):
     return _shown(rs.adasyn(rare_and_rest(spark, folder)))
 
@@ -173,25 +191,30 @@ def rsmote_clusters(spark, folder):
     return rs.rsmote_groups(rs.rsmote_density(vectors(spark, folder))).select("id", "label", "density", "grp")
 
 
-@query(
-    "rsmote_plan",
-    f"""WITH {_GROUPED},
-    weighted AS (SELECT *, 5 - n_major AS weight, count(*) OVER (PARTITION BY label, grp) AS size FROM grouped),
-    quotas AS (SELECT *, greatest(0, CASE grp WHEN 0 THEN n_top - n_kept
-        WHEN 1 THEN floor(size::double / n_kept * (n_top - n))
-        ELSE (n_top - n) - floor((n_kept - size)::double / n_kept * (n_top - n)) END)::bigint AS quota,
-        sum(weight) OVER (PARTITION BY label, grp)::bigint AS total FROM weighted),
-    seats AS (SELECT *, quota * weight // total AS base, quota * weight % total AS rest FROM quotas),
-    ranked AS (SELECT *, quota - sum(base) OVER (PARTITION BY label, grp) AS open, row_number() OVER (
-        PARTITION BY label, grp ORDER BY rest DESC, weight DESC, density DESC, id) AS place FROM seats)
-    SELECT id, label, grp, quota, weight, (base + CASE WHEN place <= open THEN 1 ELSE 0 END)::bigint AS turns FROM ranked""",
-)
+_RSMOTE = f"""{_GROUPED},
+  weighted AS (SELECT *, 5 - n_major AS weight, count(*) OVER (PARTITION BY label, grp) AS size FROM grouped),
+  quotas AS (SELECT *, greatest(0, CASE grp WHEN 0 THEN n_top - n_kept
+      WHEN 1 THEN floor(size::double / n_kept * (n_top - n))
+      ELSE (n_top - n) - floor((n_kept - size)::double / n_kept * (n_top - n)) END)::bigint AS quota,
+      sum(weight) OVER (PARTITION BY label, grp)::bigint AS total FROM weighted),
+  seats AS (SELECT *, quota * weight // total AS base, quota * weight % total AS rest FROM quotas),
+  ranked AS (SELECT *, quota - sum(base) OVER (PARTITION BY label, grp) AS open, row_number() OVER (
+      PARTITION BY label, grp ORDER BY rest DESC, weight DESC, density DESC, id) AS place FROM seats),
+  plan AS (SELECT id, label, vec, grp, quota, weight, (base + CASE WHEN place <= open THEN 1 ELSE 0 END)::bigint AS turns FROM ranked)"""
+
+
+@query("rsmote_plan", f"WITH {_RSMOTE} SELECT id, label, grp, quota, weight, turns FROM plan")
 def rsmote_plan(spark, folder):
     plan = rs.rsmote_plan(rs.rsmote_groups(rs.rsmote_density(vectors(spark, folder))))
     return plan.select("id", "label", "grp", "quota", "weight", "turns")
 
 
-@query("rsmote")
+@query(
+    "rsmote",
+    f"""WITH {_RSMOTE}, group_near AS (SELECT p.id, nid, row_number() OVER (PARTITION BY p.id ORDER BY d2, nid) AS r
+      FROM pairs p JOIN plan a ON a.id = p.id JOIN plan b ON b.id = p.nid WHERE a.label = b.label AND a.grp = b.grp),
+    {_synthetic_sql("plan", "group_near")} {_SHOW}""",
+)
 def rsmote(spark, folder):
     return _shown(rs.rsmote(vectors(spark, folder)))
 
