@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import mixing, packing, quality, simhash
+from labspark.llm import credentials, licenses, mixing, packing, quality, simhash, sketches
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_scaled_sketches")
+def op1_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return sketches.edited_likeness(docs).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        F.col("to_edited.likeness").alias("near_edited"),
+        F.col("to_next.likeness").alias("near_next"),
+        F.col("to_edited.a_in_b").alias("contained_in_edited"),
+        F.col("to_next.a_in_b").alias("contained_in_next"),
+    )
+
+
 @query("op3_simhash_near_dups")
 def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -19,6 +35,16 @@ def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op4_secret_formats")
+def op4_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = credentials.scan(docs, credentials.learn(docs))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(shown, ",").alias("spans"), "n_format"
+    )
+
+
 @query("op6_mix_sources")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
@@ -36,6 +62,14 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+@query("op8_license_digests")
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return licenses.scan(docs, licenses.known_digests(spark)).select(
+        "doc_id", "digest", "license_id", "n_notices", F.array_join("notices", ",").alias("notices")
+    )
+
+
 @query("op9_quality_votes")
 def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
