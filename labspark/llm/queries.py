@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, mixing, packing, quality, simhash, sketches
+from labspark.llm import credentials, licenses, lines, mixing, packing, quality, simhash, sketches
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -28,6 +28,17 @@ def op1_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return lines.without_repeats(docs).select(
+        "doc_id",
+        F.col("_llm_lines").alias("n_lines"),
+        F.col("_llm_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 @query("op3_simhash_near_dups")
 def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
