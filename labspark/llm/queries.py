@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, lines, mixing, packing, quality, simhash, sketches
+from labspark.llm import credentials, licenses, lines, mixing, packing, quality, simhash, sketches, substrings
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -56,6 +56,13 @@ def op4_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    cut = substrings.without_repeats(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_mix_sources")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
