@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, lines, mixing, packing, quality, simhash, sketches, substrings
+from labspark.llm import credentials, licenses, lines, mixing, neighbours, packing, quality, simhash, sketches, substrings
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -99,3 +99,9 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op10_multiprobe_neighbours")
+def op10_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
