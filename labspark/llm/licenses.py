@@ -92,11 +92,13 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     ).select("doc_id", "content", digest(whole(F.col("c"))).alias("digest"), F.transform(F.split("c", "\n"), lambda x: digest(F.btrim(x))).alias("each"))
     table = bounded(known)
     found = (
-        lines.select("doc_id", "content", F.explode("each").alias("line_digest"))
+        lines.select("doc_id", "content", F.posexplode("each").alias("pos", "line_digest"))
         .filter("line_digest is not null")
         .join(table, F.col("line_digest") == F.col("known_digest"))
+        .groupBy("doc_id", "content", "license_id", "pos")
+        .agg(F.lit(1).alias("n"))
         .groupBy("doc_id", "content", "license_id")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("doc_id", "content")
         .agg(F.sum("n").cast("long").alias("n_notices"), F.array_sort(F.collect_list("license_id")).alias("notices"))
         .withColumnsRenamed({"doc_id": "_id", "content": "_content"})
