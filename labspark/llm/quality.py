@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labspark.session import bounded
+
 #: At most so many labelled documents are learnt from: those of lowest text hash.
 MAX_LABELLED = 4_000
 DIMENSIONS = 24
@@ -86,12 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     once. Latent dimensions are the leading singular vectors of their weighted terms.
     """
     known = labels.select(F.col(doc_id).alias("_k"), F.col(label).cast("double").alias("y")).filter("y in (0.0, 1.0)")
-    rows = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("t")).filter("t is not null")
-    labelled = rows.join(known.distinct(), F.col("_d") == F.col("_k")).select(
-        F.xxhash64("t").alias("h"), "y", "t"
-    )
-    counts = _counted(labelled).groupBy("h", "y").agg(F.first("counts").alias("counts"))
-    found = counts.orderBy("h", "y").limit(most).toArrow()
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    # Ids and hashes find the sample; only the texts of the sample are then fetched.
+    named = rows.select("d", "h").join(known.distinct(), F.col("d") == F.col("_k"))
+    sample = named.groupBy("h", "y").agg(F.min("d").alias("_k")).orderBy("h", "y").limit(most)
+    sample = sample.withColumnRenamed("h", "_h")
+    labelled = rows.join(bounded(sample, most), (F.col("d") == F.col("_k")) & (F.col("h") == F.col("_h"))).select("h", "y", "t")
+    found = _counted(labelled).groupBy("h", "y").agg(F.first("counts").alias("counts")).orderBy("h", "y").limit(most).toArrow()
     y = found.column("y").to_numpy()
     raw = np.frombuffer(b"".join(found.column("counts").to_pylist()), "<f4").reshape(-1, TERMS).astype(float)
     present = (raw > 0).sum(axis=0)
