@@ -22,40 +22,50 @@ THRESHOLD = 1
 MAX_BUCKET = 48
 #: A broadcast of candidate line hashes may have so many rows of 8 bytes; the check of its bytes stays in force.
 MAX_SENT = 1_000_000
-_SPACE = "\x20\x09\x0b\x0c\x0d"
 
 
 def _codes(line: Column) -> Column:
     """A hash per word."""
-    return F.transform(F.split(line, r"[\x20\x09\x0B-\x0D]+"), lambda w: F.xxhash64(w))
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
-def _sum(length: Column, cut: int, parts: int) -> Column:
-    """Where segment `cut` of `parts` even ones begins in a line of that many words."""
-    return F.floor(length * cut / parts).cast("int")
+def _word_count(line: Column) -> Column:
+    """Words of a line that has one space between words."""
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def segment_keys(codes: Column, threshold: int = THRESHOLD) -> Column:
+def _begin(length: Column, segment: int, parts: int) -> Column:
+    """Where a segment of `parts` even ones begins in a line of that many words."""
+    return F.floor(length * segment / parts).cast("int")
+
+
+def segment_keys(line: Column, words: Column, threshold: int = THRESHOLD) -> Column:
     """Array of (key, own): the line's threshold + 1 segments, and the substrings with which it probes others'.
 
-    A line of n words indexes its own segments under (n, number, words). It probes lines
+    A line of n words indexes its own segments under (n, number, text). It probes lines
     of n - d words, d up to the threshold, at the places where segment i may stand: at
     most i - 1 words off when counted from the left, and threshold + 1 - i words off when
     counted from the right.
     """
     parts, keys = threshold + 1, []
+
+    def first(text: Column, n: Column) -> Column:
+        return F.call_function("substring_index", text, F.lit(" "), n)
+
     for d in range(parts):
-        length = F.size(codes) - d
+        length = words - d
         for i in range(1, parts + 1):
-            start = _sum(length, i - 1, parts)
-            size = _sum(length, i, parts) - start
+            start = _begin(length, i - 1, parts)
+            size = _begin(length, i, parts) - start
             for shift in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1):
                 at = start + shift
                 own = d == 0 and shift == 0
-                fits = (length >= LEAST_WORDS - threshold) & (at >= 0) & (at + size <= F.size(codes)) & (size > 0)
-                key = F.xxhash64(length, F.lit(i), F.slice(codes, F.greatest(at, F.lit(0)) + 1, F.greatest(size, F.lit(0))))
-                keys.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+                cut = line if i == parts and shift == d else first(line, at + size)
+                cut = cut if i == 1 else first(cut, -size)
+                fits = (length >= LEAST_WORDS - threshold) & (at >= 0) & (at + size <= words) & (size > 0)
+                key = F.struct(F.xxhash64(length, F.lit(i), cut).alias("key"), F.lit(own).alias("own"))
+                keys.append(F.when(fits, key))
+    return F.array(*keys)
 
 
 def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -98,12 +108,16 @@ def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, content, pos, line) for every line of at least LEAST_WORDS words, lower-cased and trimmed."""
-    split = F.transform(F.split(F.lower(F.col(text)), "\n"), lambda x: F.btrim(x, F.lit(_SPACE)))
+    """(doc_id, content, pos, line, words) for every line of at least LEAST_WORDS words, lower-cased, with single spaces."""
     rows = docs.filter(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), F.posexplode(split).alias("pos", "line")
+        F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("pos", "line")
     )
-    return rows.filter(F.col("line") != "")
+    odd = F.col("line").contains("  ")
+    for space in "\t\v\f\r":
+        odd = odd | F.col("line").contains(space)
+    even = F.when(odd, F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("line"))
+    rows = rows.withColumn("line", F.btrim(even, F.lit(" "))).withColumn("words", _word_count(F.col("line")))
+    return rows.filter(F.col("words") >= LEAST_WORDS)
 
 
 def _hash(line: Column) -> Column:
@@ -148,7 +162,7 @@ def links(occurrences: DataFrame, docs: DataFrame, doc_id: str, text: str, thres
     pair. Lines of larger buckets are linked through their variants, a number of rows in
     proportion to their words; a threshold above one knows no such way and compares all.
     """
-    emitted = occurrences.select("h", F.explode("keys").alias("k")).select("h", "k.key", "k.own")
+    emitted = occurrences.select("h", F.explode("keys").alias("k")).filter("k is not null").select("h", "k.key", "k.own")
     lines = emitted.groupBy("key", "h").agg(F.max("own").alias("own"))
     sizes = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
     met = checkpointed(lines.join(sizes.select("key", "n"), "key"))
@@ -173,11 +187,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     First is the line of smallest doc_id (null last), then text hash, then position.
     Rows equal in id and text are one document. Equal lines are one before any search.
     """
-    codes = _codes(F.col("line"))
+    keys = segment_keys(F.col("line"), F.col("words"), threshold)
     rows = checkpointed(
-        lines_of(docs, doc_id, text)
-        .select("doc_id", "content", "pos", _hash(F.col("line")).alias("h"), let(codes, lambda c: F.when(F.size(c) >= LEAST_WORDS, segment_keys(c, threshold))).alias("keys"))
-        .filter("keys is not null")
+        lines_of(docs, doc_id, text).select("doc_id", "content", "pos", _hash(F.col("line")).alias("h"), keys.alias("keys"))
     )
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "content", "pos")
     firsts = checkpointed(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
