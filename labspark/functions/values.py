@@ -20,7 +20,12 @@ SUB_TYPES = (
 )
 PANELS = {1: "GN", 2: "GP"}
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "d/M/yyyy", "d-MMM-yyyy")
+# Month first; the day-first forms only match where the first number is no month.
+DATE_FORMATS = (
+    "yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy", "d MMM yyyy",
+    "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy",
+)
+_TIME_OF_DAY = r"(?:(?:[Tt]|\s+)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d{1,9})?)?(?:[Zz]|[+-]\d\d:?\d\d)?)?$"
 DISPLAY_FORMAT = "dd-MMM-yyyy HH:mm:ss"
 
 
@@ -41,8 +46,9 @@ def name_to_symbol(col: Column) -> Column:
 
 
 def parse_date(col: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Day of a date text in one of the accepted formats, else null."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(strip(col), F.lit(f))) for f in formats])
+    """Day of a date text in one of the accepted formats, with or without a time of day, else null."""
+    day = F.regexp_extract(strip(col), r"^(.+?)" + _TIME_OF_DAY, 1)
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(day, F.lit(f))) for f in formats])
 
 
 def month_key(col: Column) -> Column:
@@ -77,11 +83,6 @@ def interpolate(start: Column, end: Column, gap: Column) -> Column:
     return F.zip_with(start, end, lambda a, b: a + gap * (b - a))
 
 
-def draw(*parts: Column) -> Column:
-    """A reproducible number in [0, 1) from the md5 of the joined parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def normalise_results(results: Column, prefix: str = "S/I/R_") -> Column:
     """Drug -> symbol map of a scoring request: keys lower and stripped, symbols upper."""
     # A key that is given twice in different spelling keeps the last value.

@@ -102,6 +102,30 @@ def performance_by_version(
     return per_model.unionByName(whole)
 
 
+def performance_of_current(
+    current: DataFrame, model: DataFrame, links: DataFrame, groups: DataFrame, labels: DataFrame, panel: int
+) -> DataFrame:
+    """What version 0 shows: champions with the metrics of their newest test, plus the row for all models together.
+
+    `current` (model_id, metrics, version) gets one row per champion and run; the rows of
+    the panel's largest version count. The version shown is the one a model comes from.
+    """
+    of_panel = current.join(model.select("model_id", "antimicrobial_id"), "model_id").join(labels, "antimicrobial_id")
+    newest = of_panel.agg(F.max("version").alias("version"))
+    origin = links.join(
+        groups.filter((F.col("version") > 0) & (F.col("vitek_id") == panel)).select(
+            "model_group_id", F.col("version").alias("origin_version")
+        ),
+        "model_group_id",
+    ).select("model_id", "origin_version", "model_group_id")
+    shown = of_panel.join(F.broadcast(newest), "version", "left_semi").join(origin, "model_id")
+    rows = shown.select("name", F.col("origin_version").alias("version"), *MEASURES, F.lit("-").alias("performance"), "model_group_id")
+    whole = groups.filter((F.col("vitek_id") == panel) & (F.col("version") == 0)).select(
+        F.lit(ALL_MODELS).alias("name"), "version", *MEASURES, F.lit("-").alias("performance"), "model_group_id"
+    )
+    return rows.unionByName(whole)
+
+
 def resolve_champions(
     model: DataFrame, links: DataFrame, groups: DataFrame, binning: DataFrame, panel: int
 ) -> DataFrame:
@@ -130,9 +154,12 @@ def remove_snapshot(model: DataFrame, links: DataFrame, groups: DataFrame, group
 
 
 def register_snapshot(
-    group_id: int, version: int, panel: int, models: DataFrame, batches: DataFrame, vocabulary: list[str]
+    group_id: int, version: int, panel: int, models: DataFrame, batches: DataFrame, vocabulary: DataFrame
 ) -> dict[str, DataFrame]:
-    """Rows to append for a new snapshot."""
+    """Rows to append for a new snapshot.
+
+    `vocabulary` is a table (name). It is stored as one list per snapshot, as binning needs it.
+    """
     spark = models.sparkSession
     return {
         "model": models,
@@ -141,5 +168,7 @@ def register_snapshot(
         ),
         "model_group_model": models.select(F.lit(group_id).cast("long").alias("model_group_id"), "model_id"),
         "model_group_file": batches.select(F.lit(group_id).cast("long").alias("model_group_id"), "file_id"),
-        "binning": spark.createDataFrame([(group_id, vocabulary)], "model_group_id long, schema array<string>"),
+        "binning": vocabulary.agg(F.array_sort(F.collect_set("name")).alias("schema")).select(
+            F.lit(group_id).cast("long").alias("model_group_id"), "schema"
+        ),
     }

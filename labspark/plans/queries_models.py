@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labspark.operators import metrics, registry
@@ -114,7 +116,7 @@ def _registry(spark, folder):
     """model, links and groups of one panel; group 0 holds the champions."""
     models = bounded(_models(spark, folder))
     links = models.select(F.col("version").alias("model_group_id"), "model_id").unionByName(
-        _champions(models, roles.LAST_VERSION).select(F.lit(0).alias("model_group_id"), "model_id")
+        _champions(models, roles.span(spark, folder)[1]).select(F.lit(0).alias("model_group_id"), "model_id")
     )
     per_group = links.join(models.drop("model_group_id"), "model_id").groupBy("model_group_id").agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]
@@ -136,6 +138,9 @@ def perf_by_label(spark, folder):
     )
 
 
+_LAST = "(SELECT max(version) FROM judged)"
+
+
 def _version_sql(rows: str, version: str) -> str:
     total = "sum(tp + tn)::double / sum(tp + fp + fn + tn)"
     return f"""SELECT label AS name, version, {_ROUNDED}, performance, version AS model_group_id FROM judged WHERE {rows}
@@ -144,19 +149,39 @@ def _version_sql(rows: str, version: str) -> str:
     FROM judged WHERE {rows}"""
 
 
-@query("perf_by_version", f"WITH {_HISTORY} {_version_sql('version = 7', '7')}")
+@query("perf_by_version", f"WITH {_HISTORY} {_version_sql(f'version = {_LAST}', _LAST)}")
 def perf_by_version(spark, folder):
-    return _performance(spark, folder, 7)
+    return _performance(spark, folder, roles.span(spark, folder)[1])
 
 
 @query(
     "perf_current",
-    f"""WITH {_HISTORY} {_version_sql(
-        "(label, version) IN (SELECT (label, max(version)) FROM judged WHERE performance <> 'worse' GROUP BY label)", "0")}""",
+    f"""WITH {_HISTORY}, champion AS (
+      SELECT label, max(version) AS version FROM judged WHERE performance <> 'worse' GROUP BY label),
+    tested AS (SELECT label, champion.version, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM champion
+      JOIN (SELECT label, tp, fp, fn, tn, accuracy, precision, recall, f1 FROM metrics WHERE version = {_LAST}) USING (label))
+    SELECT label AS name, version, {_ROUNDED}, '-' AS performance, version AS model_group_id FROM tested
+    UNION ALL SELECT 'All Model (Test By Case)', CAST(0 AS INTEGER), round(sum(tp + tn)::double / sum(tp + fp + fn + tn), 6),
+      round(sum(tp)::double / sum(tp + fp), 6), round(sum(tp)::double / sum(tp + fn), 6),
+      round(2 * sum(tp)::double / sum(2 * tp + fp + fn), 6), '-', CAST(0 AS INTEGER)
+    FROM (SELECT j.* FROM judged j JOIN champion USING (label, version))""",
 )
 def perf_current(spark, folder):
-    """Metrics of the champions, each with the version it comes from."""
-    return _performance(spark, folder, 0)
+    """Champions with the metrics of their last test, each with the version it comes from.
+
+    The rows of the newest batch are that test: every champion is re-tested on them.
+    """
+    models, links, groups = _registry(spark, folder)
+    _, last = roles.span(spark, folder)
+    retest = roles.model_metrics(spark, folder).filter(F.col("version") == last)
+    pointed = _champions(models.withColumn("version", F.substring_index("model_id", "-", -1).cast("int")), last)
+    current = pointed.join(retest.withColumnRenamed("label", "antimicrobial_id"), "antimicrobial_id").select(
+        "model_id", *MEASURES, F.lit(last + 1).alias("version")
+    )
+    older = pointed.select("model_id", *[F.lit(0.0).alias(m) for m in MEASURES], F.lit(last).alias("version"))
+    names = models.select("antimicrobial_id", F.col("antimicrobial_id").alias("name")).distinct()
+    found = registry.performance_of_current(older.unionByName(current), models, links, groups, names, 1)
+    return found.select("name", "version", *_rounded(), "performance", "model_group_id")
 
 
 def _performance(spark, folder, version: int):
@@ -169,11 +194,11 @@ def _performance(spark, folder, version: int):
 @query(
     "champion_challenger",
     f"""WITH {_HISTORY}, champion AS (
-      SELECT label, max(version) AS version FROM judged WHERE version <= 6 AND performance <> 'worse' GROUP BY label)
+      SELECT label, max(version) AS version FROM judged WHERE version < (SELECT max(version) FROM judged) AND performance <> 'worse' GROUP BY label)
     SELECT n.label, n.model_id, o.model_id AS champion_model_id, round(n.f1, 6) AS f1, round(o.f1, 6) AS champion_f1,
       CASE WHEN n.f1 > o.f1 THEN 'better' WHEN n.f1 < o.f1 THEN 'worse' ELSE 'same' END AS performance
     FROM judged n JOIN champion USING (label) JOIN judged o ON o.label = champion.label AND o.version = champion.version
-    WHERE n.version = 7""",
+    WHERE n.version = (SELECT max(version) FROM judged)""",
 )
 def champion_challenger(spark, folder):
     return _decided(spark, folder).select(
@@ -183,20 +208,21 @@ def champion_challenger(spark, folder):
 
 
 def _decided(spark, folder):
-    models = bounded(_models(spark, folder).drop("performance")).withColumnRenamed("antimicrobial_id", "label")
-    judged = _models(spark, folder)
-    old = models.join(bounded(_champions(judged, 6).select("model_id")), "model_id", "left_semi")
-    return registry.champion_challenger(models.filter("version = 7"), old, "label")
+    _, last = roles.span(spark, folder)
+    judged = bounded(_models(spark, folder))
+    models = judged.drop("performance").withColumnRenamed("antimicrobial_id", "label")
+    old = models.join(bounded(_champions(judged, last - 1).select("model_id")), "model_id", "left_semi")
+    return registry.champion_challenger(models.filter(F.col("version") == last), old, "label")
 
 
 @query(
     "promote_current",
     f"""WITH {_HISTORY}, champion AS (
       SELECT label, max(version) AS version FROM judged WHERE performance <> 'worse' GROUP BY label)
-    SELECT label, model_id, {_ROUNDED}, CAST(8 AS INTEGER) AS version FROM champion JOIN judged USING (label, version)""",
+    SELECT label, model_id, {_ROUNDED}, CAST((SELECT max(version) FROM metrics) + 1 AS INTEGER) AS version FROM champion JOIN judged USING (label, version)""",
 )
 def promote_current(spark, folder):
-    rows = registry.current_rows(registry.promote(_decided(spark, folder), "label"), 7)
+    rows = registry.current_rows(registry.promote(_decided(spark, folder), "label"), roles.span(spark, folder)[1])
     return rows.select("label", "model_id", *_rounded(), "version")
 
 
@@ -226,36 +252,66 @@ def resolve_champions(spark, folder):
     )
 
 
+_NEWEST = f"(SELECT * FROM judged WHERE version = {_LAST})"
+
+
 @query(
     "register_snapshot",
-    f"""WITH {_HISTORY}, {_VOCABULARY}
-    SELECT 'model' AS name, count(*) AS n FROM judged WHERE version = 7
-    UNION ALL SELECT 'model_group', 1 UNION ALL SELECT 'model_group_model', count(*) FROM judged WHERE version = 7
-    UNION ALL SELECT 'model_group_file', count(DISTINCT batch_id) FROM cases
-    UNION ALL SELECT 'binning', n_values FROM vocabulary WHERE version = 7""",
+    f"""WITH {_HISTORY}, {_VOCABULARY.replace("count(DISTINCT CASE WHEN n < 135 THEN 'other' ELSE p_name END) AS n_values", "string_agg(DISTINCT CASE WHEN n < 135 THEN 'other' ELSE p_name END, '|' ORDER BY CASE WHEN n < 135 THEN 'other' ELSE p_name END) AS names")},
+    fresh AS (SELECT CAST({_LAST} + 1 AS BIGINT) AS group_id)
+    SELECT 'model' AS name, group_id, model_id AS item, round(f1, 6) AS value FROM {_NEWEST}, fresh
+    UNION ALL SELECT 'model_group', group_id, CAST(1 AS VARCHAR), group_id::double FROM fresh
+    UNION ALL SELECT 'model_group_model', group_id, model_id, NULL FROM {_NEWEST}, fresh
+    UNION ALL SELECT 'model_group_file', group_id, batch_id::varchar, NULL FROM (SELECT DISTINCT batch_id FROM cases), fresh
+    UNION ALL SELECT 'binning', group_id, names, NULL FROM vocabulary, fresh WHERE version = {_LAST}""",
 )
 def register_snapshot(spark, folder):
-    """Rows a new snapshot of the newest models appends; for the vocabulary its length."""
-    models = bounded(_models(spark, folder).filter("version = 7"))
+    """All rows that a new snapshot of the newest models appends, in one long form."""
+    _, last = roles.span(spark, folder)
+    models = bounded(_models(spark, folder).filter(F.col("version") == last))
     batches = roles.batches(spark, folder).select(F.col("batch_id").alias("file_id"))
-    vocabulary = snapshot_vocabularies(spark, folder, 135).filter("version = 7").first().vocabulary
-    tables = registry.register_snapshot(8, 8, 1, models, batches, vocabulary)
-    counts = [t.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, t in tables.items() if n != "binning"]
-    counts.append(tables["binning"].select(F.lit("binning").alias("name"), F.size("schema").cast("long").alias("n")))
-    out = counts[0]
-    for part in counts[1:]:
-        out = out.unionByName(part)
-    return out
+    names = snapshot_vocabularies(spark, folder, 135).filter(F.col("version") == last)
+    vocabulary = names.select(F.explode("vocabulary").alias("name"))
+    tables = registry.register_snapshot(last + 1, last + 1, 1, models, batches, vocabulary)
+    none = F.lit(None).cast("double")
+
+    def rows(name, item, value=none, group=F.col("model_group_id")):
+        return tables[name].select(
+            F.lit(name).alias("name"), group.cast("long").alias("group_id"), item.cast("string").alias("item"), value.alias("value")
+        )
+
+    parts = (
+        rows("model", F.col("model_id"), F.round("f1", 6), F.lit(last + 1)),
+        rows("model_group", F.col("vitek_id"), F.col("version").cast("double")),
+        rows("model_group_model", F.col("model_id")),
+        rows("model_group_file", F.col("file_id")),
+        rows("binning", F.array_join("schema", "|")),
+    )
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
     "remove_snapshot",
     f"""WITH {_HISTORY}, champion AS (
-      SELECT label, max(version) AS version FROM judged WHERE performance <> 'worse' GROUP BY label)
-    SELECT model_id, label FROM judged WHERE version <> 3 OR (label, version) IN (SELECT (label, version) FROM champion)""",
+      SELECT label, max(version) AS version FROM judged WHERE performance <> 'worse' GROUP BY label),
+    links AS (SELECT version AS model_group_id, model_id FROM judged
+      UNION ALL SELECT CAST(0 AS INTEGER), model_id FROM judged JOIN champion USING (label, version))
+    SELECT 'model' AS name, model_id AS item, label AS of_item FROM judged
+      WHERE version <> 3 OR (label, version) IN (SELECT (label, version) FROM champion)
+    UNION ALL SELECT 'model_group', model_group_id::varchar, CAST(1 AS VARCHAR) FROM (SELECT DISTINCT model_group_id FROM links) WHERE model_group_id <> 3
+    UNION ALL SELECT 'model_group_model', model_id, model_group_id::varchar FROM links WHERE model_group_id <> 3""",
 )
 def remove_snapshot(spark, folder):
-    """Models left after snapshot 3 is removed; its champions stay."""
+    """The rows of all three tables after snapshot 3 is removed; its champions stay."""
     models, links, groups = _registry(spark, folder)
-    left = registry.remove_snapshot(models, links, groups, 3)["model"]
-    return left.select("model_id", F.col("antimicrobial_id").alias("label"))
+    left = registry.remove_snapshot(models, links, groups, 3)
+
+    def rows(name, item, of_item):
+        return left[name].select(F.lit(name).alias("name"), F.col(item).cast("string").alias("item"), F.col(of_item).cast("string").alias("of_item"))
+
+    parts = (
+        rows("model", "model_id", "antimicrobial_id"),
+        rows("model_group", "model_group_id", "vitek_id"),
+        rows("model_group_model", "model_id", "model_group_id"),
+    )
+    return reduce(DataFrame.unionByName, parts)

@@ -13,13 +13,12 @@ from labspark.plans.registered import ANSWERS, CASES, LINES, LINKS, REPORTS, SYM
 from labspark.session import bounded
 from labspark.sources.tables import table
 
-VERSION = roles.LAST_VERSION  # the newest snapshot covers every batch
-_IN_SNAPSHOT = "batch_id IN (SELECT batch_id FROM links WHERE version = 7)"
+_IN_SNAPSHOT = "batch_id IN (SELECT batch_id FROM links WHERE version = (SELECT max(version) FROM links))"
 
 
 def _snapshot(spark, folder, rows=None):
     rows = roles.cases(spark, folder) if rows is None else rows
-    return rep.snapshot_reports(rows, roles.links(spark, folder), VERSION)
+    return rep.snapshot_reports(rows, roles.links(spark, folder), roles.span(spark, folder)[1])
 
 
 @query(
@@ -91,7 +90,7 @@ def snapshot_symbol_pivot(spark, folder):
     SELECT batch_id, count(*) AS amount_row FROM cases WHERE {_IN_SNAPSHOT} GROUP BY ALL""",
 )
 def batch_listing(spark, folder):
-    return rep.batch_listing(roles.cases(spark, folder), roles.links(spark, folder), VERSION)
+    return rep.batch_listing(roles.cases(spark, folder), roles.links(spark, folder), roles.span(spark, folder)[1])
 
 
 @query(
@@ -260,7 +259,7 @@ def gate_counts(spark, folder):
 )
 def needs_retrain(spark, folder):
     """Per snapshot version: do its batches differ from the active ones?"""
-    versions = F.explode(F.sequence(F.lit(1), F.lit(VERSION)))
+    versions = F.explode(F.sequence(F.lit(1), F.lit(roles.span(spark, folder)[1])))
     held = roles.links(spark, folder).select("version", "batch_id", F.lit(1).alias("s"))
     active = (
         roles.batches(spark, folder).filter("batch_id <> 1997").select(versions.alias("version"), "batch_id", F.lit(2).alias("s"))

@@ -142,12 +142,17 @@ def _part_cells(spark, folder):
 
 @query(
     "align_features",
-    """SELECT p_partkey, CAST(p_type = 'PROMO' AS INTEGER) AS "p_type_PROMO", CAST(p_type = 'LARGE' AS INTEGER) AS "p_type_LARGE",
+    """SELECT p_partkey, CAST(p_type = 'PROMO' AND p_brand <> 'Brand#3' AS INTEGER) AS "p_type_PROMO",
+      CAST(p_type = 'LARGE' AND p_brand <> 'Brand#3' AS INTEGER) AS "p_type_LARGE",
       CAST(p_brand = 'Brand#1' AS INTEGER) AS "p_brand_Brand#1", CAST(0 AS INTEGER) AS "p_type_UNSEEN" FROM part""",
 )
 def align_features(spark, folder):
-    long = features.tokens(_part_cells(spark, folder), "p_partkey", ["p_type", "p_brand"])
-    return features.align(long, "p_partkey", ["p_type_PROMO", "p_type_LARGE", "p_brand_Brand#1", "p_type_UNSEEN"])
+    """Parts of brand 3 have no value at all and stay as rows of zeros."""
+    cells = _part_cells(spark, folder)
+    cells = cells.withColumn("p_type", F.when(F.col("p_brand").isNotNull(), F.col("p_type")))
+    long = features.tokens(cells, "p_partkey", ["p_type", "p_brand"])
+    wanted = ["p_type_PROMO", "p_type_LARGE", "p_brand_Brand#1", "p_type_UNSEEN"]
+    return features.align(long, "p_partkey", wanted, cells)
 
 
 # ---- splits ----

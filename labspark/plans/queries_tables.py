@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labspark.functions.text import first_token, lower_strip
+from labspark.functions.text import blank_to_null, lower_strip
 from labspark.operators import dims, quality
 from labspark.operators.features import bin_rare
 from labspark.operators.numbering import number_rows
 from labspark.operators.reshape import drop_empty_columns
-from labspark.functions.text import blank_to_null
+from labspark.operators.registry import latest_versions, vocabulary_union
 from labspark.plans import roles
 from labspark.plans.registered import CASES, LINKS, query
 from labspark.session import bounded, scratch_path
@@ -78,11 +78,12 @@ def scalar_subquery(spark, folder):
 
 @query(
     "latest_version",
-    f"WITH {CASES} SELECT panel, max(batch_id - 1994) AS version FROM cases GROUP BY panel",
+    f"WITH {CASES} SELECT panel, CAST(max(batch_id) - (SELECT min(batch_id) FROM cases) + 1 AS INTEGER) AS version FROM cases GROUP BY panel",
 )
 def latest_version(spark, folder):
-    versions = roles.cases(spark, folder).select("panel", (F.col("batch_id") - 1994).alias("version"))
-    return versions.groupBy("panel").agg(F.max("version").alias("version"))
+    first, _ = roles.span(spark, folder)
+    versions = roles.cases(spark, folder).select("panel", (F.col("batch_id") - (first - 1)).alias("version"))
+    return latest_versions(versions, "panel")
 
 
 @query(
@@ -181,13 +182,17 @@ def snapshot_vocabularies(spark, folder, k):
     "vocab_union",
     f"""WITH {CASES}, {LINKS}, parts AS (
       SELECT version, p_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN cases ON report_id = l_orderkey
-      JOIN links USING (batch_id) WHERE version >= 6),
+      JOIN links USING (batch_id) WHERE version >= (SELECT max(version) - 1 FROM links)),
     counts AS (SELECT version, p_name, count(*) AS n FROM parts GROUP BY ALL)
     SELECT DISTINCT CASE WHEN n < 900 THEN 'other' ELSE p_name END AS name FROM counts""",
 )
 def vocab_union(spark, folder):
     """Values allowed by any of the latest two snapshots (one per panel)."""
-    return snapshot_vocabularies(spark, folder, 900).filter("version >= 6").select(F.explode("vocabulary").alias("name")).distinct()
+    _, last = roles.span(spark, folder)
+    binning = snapshot_vocabularies(spark, folder, 900).select(F.col("version").alias("model_group_id"), F.col("vocabulary").alias("schema"))
+    panels = ((last - 1, 1, last - 1), (last, 2, last))
+    groups = spark.createDataFrame(panels, "model_group_id int, vitek_id int, version int")
+    return vocabulary_union(binning, groups)
 
 
 @query(
@@ -214,15 +219,11 @@ def label_universe(spark, folder):
 
 @query(
     "new_values",
-    """WITH words AS (
-      SELECT DISTINCT regexp_extract(text, '[^\\s\\p{Z}]+') AS word FROM documents),
-    known AS (SELECT DISTINCT regexp_extract(text, '[^\\s\\p{Z}]+') AS word FROM benchmark)
-    SELECT word FROM words WHERE word <> '' AND word NOT IN (SELECT word FROM known)""",
+    "SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)",
 )
-def new_first_words(spark, folder):
-    words = table(spark, folder, "documents").select(first_token(F.col("text")).alias("word"))
-    known = table(spark, folder, "benchmark").select(first_token(F.col("text")).alias("word"))
-    return quality.new_values(words, known, "word")
+def new_texts(spark, folder):
+    known = table(spark, folder, "benchmark").select("text")
+    return quality.new_values(table(spark, folder, "documents").select("text"), known, "text")
 
 
 @query(
@@ -254,17 +255,18 @@ def drop_all_null_columns(spark, folder):
 
 @query(
     "read_csv",
-    """SELECT o_orderkey::varchar AS o_orderkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority
-    FROM orders""",
+    """SELECT o_orderkey::varchar AS o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'a "P", quoted' ELSE o_orderstatus END AS o_orderstatus,
+      nullif(o_orderpriority, '5-LOW') AS o_orderpriority FROM orders""",
 )
 def csv_round_trip(spark, folder):
     """Orders written as CSV and read back as texts; the token NA is read as missing."""
     path = scratch_path(spark, "orders-csv")
     orders = table(spark, folder, "orders").select(
-        "o_orderkey", "o_orderstatus",
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", 'a "P", quoted').otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(F.col("o_orderpriority") == "5-LOW", "NA").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
     )
-    orders.write.option("header", True).csv(path)
+    orders.write.option("header", True).option("escape", '"').csv(path)
     return read_csv(spark, path)
 
 

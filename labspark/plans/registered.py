@@ -34,9 +34,9 @@ CASES = """cases AS (
 REPORTS = CASES + """, reports AS (
   SELECT cases.*, c_mktsegment AS species, n_name AS genus
   FROM cases JOIN customer ON c_custkey = hn JOIN nation ON n_nationkey = c_nationkey)"""
-LINKS = """links AS (
-  SELECT CAST(unnest(generate_series(batch_id - 1994, 7)) AS INTEGER) AS version, batch_id
-  FROM (SELECT DISTINCT batch_id FROM cases))"""
+LINKS = """ends AS (SELECT min(batch_id) AS first, max(batch_id) AS last FROM cases), links AS (
+  SELECT CAST(unnest(generate_series(batch_id - first + 1, last - first + 1)) AS INTEGER) AS version, batch_id
+  FROM (SELECT DISTINCT batch_id FROM cases), ends)"""
 LINES = """items AS (
   SELECT l_orderkey AS report_id, p_type AS label, l_returnflag, l_linestatus, l_quantity
   FROM lineitem JOIN part ON p_partkey = l_partkey)"""
@@ -45,12 +45,13 @@ SYMBOLS = """symbols AS (
 ANSWERS = """answers AS (
   SELECT DISTINCT report_id, label FROM items WHERE l_linestatus = 'O')"""
 METRICS = """counts AS (
-  SELECT label, CAST(year(o_orderdate) AS INTEGER) - 1994 AS version,
+  SELECT label, CAST(year(o_orderdate) - first + 1 AS INTEGER) AS version,
          count(*) FILTER (WHERE l_linestatus = 'O' AND l_returnflag = 'R') AS tp,
          count(*) FILTER (WHERE l_linestatus <> 'O' AND l_returnflag = 'R') AS fp,
          count(*) FILTER (WHERE l_linestatus = 'O' AND l_returnflag <> 'R') AS fn,
          count(*) FILTER (WHERE l_linestatus <> 'O' AND l_returnflag <> 'R') AS tn
-  FROM items JOIN orders ON o_orderkey = report_id GROUP BY ALL),
+  FROM items JOIN orders ON o_orderkey = report_id, (SELECT min(year(o_orderdate)) AS first FROM orders)
+  GROUP BY label, year(o_orderdate), first),
 metrics AS (
   SELECT *, (tp + tn)::double / (tp + fp + fn + tn) AS accuracy,
          CASE WHEN tp + fp = 0 THEN 0.0::double ELSE tp::double / (tp + fp) END AS precision,

@@ -16,9 +16,6 @@ from labspark.operators.reshape import RESULT_PREFIX, columns_with_prefix, pivot
 from labspark.session import bounded, distinct_values
 from labspark.sources.tables import table
 
-FIRST_YEAR = 1995
-LAST_VERSION = 7
-
 # Result symbols of the return flags.
 FLAG_SYMBOLS = {"A": "+", "N": "S", "R": "R"}
 
@@ -50,10 +47,17 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).groupBy("batch_id").agg(F.count("*").alias("amount_row"))
 
 
+def span(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Year of the first batch, and the last version: one per year from the first to the last batch."""
+    ends = cases(spark, folder).agg(F.min("batch_id").alias("a"), F.max("batch_id").alias("b")).first()
+    return (ends.a, ends.b - ends.a + 1) if ends.a is not None else (1, 0)
+
+
 def links(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot version and batch: version v holds the batches of its first v years."""
     years = cases(spark, folder).select("batch_id").distinct()
-    versions = F.sequence(F.col("batch_id") - (FIRST_YEAR - 1), F.lit(LAST_VERSION))
+    first, last = span(spark, folder)
+    versions = F.sequence(F.col("batch_id") - (first - 1), F.lit(last))
     return years.select(F.explode(versions).alias("version"), "batch_id")
 
 
@@ -81,9 +85,8 @@ def labels(spark: SparkSession, folder: str) -> list[str]:
 
 def model_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics per drug and version (year): flag R is the prediction, an open line the truth."""
-    versions = cases(spark, folder).select(
-        "report_id", (F.col("batch_id") - (FIRST_YEAR - 1)).alias("version")
-    )
+    first, _ = span(spark, folder)
+    versions = cases(spark, folder).select("report_id", (F.col("batch_id") - (first - 1)).alias("version"))
     rows = lines(spark, folder).join(versions, "report_id")
     counts = binary_metrics(
         rows,

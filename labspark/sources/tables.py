@@ -21,21 +21,37 @@ def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> Data
 
 
 def read_csv(
-    spark: SparkSession, path: str, columns: list[str] | None = None, line_no: str | None = None
+    spark: SparkSession,
+    path: str,
+    columns: list[str] | None = None,
+    line_no: str | None = None,
+    malformed: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with header as texts; the usual tokens for missing values become null.
 
+    Quotes inside quoted cells are doubled. A record with more or fewer cells than the
+    header stops the read, or, if `malformed` names a column, is kept with its raw text
+    there (null for all good records). `multi_line` allows line breaks inside quotes, at
+    the price that a file is read by one task; numbers are then those of records.
+
     Texts keep leading zeros; typed columns are parsed by the steps that need them.
     Without a column list only the header line is read to name the columns. `line_no` adds
     the line of each row, 2 for the first one below the header; with several files the
     count runs on in path order.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if columns is None:
         columns = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = reader.schema(schema).option("enforceSchema", False).csv(path)
+    if malformed is None:
+        reader = reader.option("mode", "FAILFAST")
+    else:
+        schema = schema.add(malformed, T.StringType())
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", malformed)
+    df = reader.schema(schema).option("enforceSchema", malformed is not None).csv(path)
     cells = [missing_to_null(F.col(quoted(c))).alias(c) for c in columns]
+    cells += [F.col(quoted(malformed))] if malformed else []
     if line_no is None:
         return df.select(*cells)
     place = ["_file", "_start", "_row"]
