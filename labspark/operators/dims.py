@@ -17,6 +17,8 @@ def lookup_or_other(
     `dimension` has the columns id and name.
     """
     fallback = dimension.filter(F.col("name") == other).agg(F.min("id")).first()[0]
+    if fallback is None:
+        raise ValueError(f"the dimension has no member {other!r}")
     names = bounded(dimension.select(F.col("name").alias(column), F.col("id").alias("_found")))
     return (
         facts.join(names, column, "left")

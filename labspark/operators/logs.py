@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labspark.session import bounded
+
 PAGE_ROWS = 10
 
 
@@ -80,3 +82,34 @@ def same_members(left: DataFrame, right: DataFrame, column: str) -> bool:
     sides = left.select(column, F.lit(1).alias("s")).unionByName(right.select(column, F.lit(2).alias("s")))
     odd = sides.groupBy(column).agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a = b")
     return odd.isEmpty()
+
+
+def upload_page(logs: DataFrame, results: DataFrame, key: str, type_column: str, detail: str, order: list[Column], number: int) -> DataFrame:
+    """One page of logs, each with its results; only the logs of the page meet the results."""
+    return with_results(bounded(page(logs, order, number)), results, key, type_column, detail)
+
+
+def training_page(logs: DataFrame, panels: DataFrame, groups: DataFrame, order: list[Column], number: int) -> DataFrame:
+    """One page of training runs with panel name and, where a run made a snapshot, its version."""
+    rows = logs.join(panels.select(F.col("id").alias("vitek_id"), F.col("name").alias("vitek_name")), "vitek_id")
+    return page(rows, order, number).join(groups.select("model_group_id", "version"), "model_group_id", "left")
+
+
+def active_page(files: DataFrame, panels: DataFrame, number: int, deletable_after: int = 2021) -> DataFrame:
+    """One page of active, filled batches, newest first, with panel name, `can_delete` and the number of all such batches."""
+    named = files.join(panels.select(F.col("id").alias("vitek_id"), F.col("name").alias("vitek_name")), "vitek_id")
+    shown = named.filter("active and amount_row is not null")
+    rows = page(shown, [F.desc("upload_at"), F.asc("id")], number)
+    return rows.withColumn("total_row", F.lit(shown.count()).cast("long")).withColumn("can_delete", F.year("upload_at") > deletable_after)
+
+
+def delete_outcomes(files: DataFrame, runs: DataFrame, references: DataFrame, key: str, status: str, busy: tuple[str, ...]) -> DataFrame:
+    """What a request to delete each batch leads to: fail, deleted or inactive.
+
+    While a training is waiting or running every request fails. A batch that no snapshot
+    uses is deleted, any other only set inactive.
+    """
+    blocked = not runs.filter(F.col(status).isin(*busy)).isEmpty()
+    used = references.select(F.col(key).alias("_used")).distinct()
+    outcome = F.when(F.lit(blocked), "fail").when(F.col("_used").isNull(), "deleted").otherwise("inactive")
+    return files.join(used, F.col(key) == F.col("_used"), "left").withColumn("outcome", outcome).drop("_used")

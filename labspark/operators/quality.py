@@ -11,6 +11,7 @@ from labspark.functions.text import clean_specimen, first_token, is_blank, lower
 from labspark.functions.values import parse_date
 from labspark.operators.numbering import line_ranges
 from labspark.operators.reshape import ANSWER_PREFIX, RESULT_PREFIX, columns_with_prefix, quoted
+from labspark.session import checkpointed
 
 # Columns and limits of an upload file.
 MIN_ROWS = 300
@@ -24,7 +25,8 @@ IDENTITY = (
 PREFIXES = (RESULT_PREFIX, ANSWER_PREFIX)
 
 ISSUES = "stage_no int, stage string, code string, column string, lo long, hi long, lines string"
-_DERIVED = ("line_no",)
+MALFORMED = "malformed_record"  # raw text of a record with too few or too many cells
+_DERIVED = ("line_no", MALFORMED)
 
 
 def _from_rows(spark, rows: list[tuple]) -> DataFrame:
@@ -62,7 +64,7 @@ def failing_lines(df: DataFrame, checks: list[tuple[str, str, Column]], line: st
     found = F.array_compact(
         F.array(
             *[
-                F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(column).alias("column")))
+                F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(column).cast("string").alias("column")))
                 for code, column, bad in checks
             ]
         )
@@ -105,8 +107,11 @@ def with_ranges(lines: DataFrame, stage_no: int, stage: str, line: str = "line_n
 
 
 def value_faults(df: DataFrame, panel: str) -> DataFrame:
-    """Lines with a blank cell, bad date, bad flag or wrong panel."""
-    return failing_lines(df, blank_checks(df) + date_checks() + flag_checks(df) + panel_checks(panel))
+    """Lines with a blank cell, bad date, bad flag or wrong panel, and records that do not fit the header."""
+    checks = blank_checks(df) + date_checks() + flag_checks(df) + panel_checks(panel)
+    if MALFORMED in df.columns:
+        checks = [("malformed_line", None, F.col(MALFORMED).isNotNull()), *checks]
+    return failing_lines(df, checks)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,8 +177,8 @@ def quality_report(
     for issues in (amount_issues(df, min_rows), column_issues(df)):
         if not issues.isEmpty():
             return issues
-    faults = value_faults(df, panel)
-    if not faults.isEmpty():  # stops at the first fault found
+    faults = checkpointed(value_faults(df, panel))  # one scan for the decision and the ranges
+    if not faults.isEmpty():
         return with_ranges(faults, 3, "value")
     return with_ranges(duplicate_faults(df, stored), 4, "duplicate")
 

@@ -6,6 +6,7 @@ from labspark.plans import (
     queries_reports,
     queries_resample,
     queries_reshape,
+    queries_runs,
     queries_tables,
     queries_text,
 )
@@ -19,6 +20,7 @@ __all__ = [
     "queries_reports",
     "queries_resample",
     "queries_reshape",
+    "queries_runs",
     "queries_tables",
     "queries_text",
 ]

@@ -15,7 +15,6 @@ from labspark.operators.quality import new_value_report, quality_report
 from labspark.operators.reshape import infer_symbol_type, melt_flags, melt_symbols, with_sub_type
 from labspark.operators.split import split_by_case, split_by_label
 from labspark.session import bounded, checkpointed, distinct_values
-from labspark.sources.tables import append_rows
 
 
 @dataclass
@@ -39,6 +38,8 @@ class Batch:
     report_answer: DataFrame
     report_train: DataFrame
     dimensions: Dimensions
+    file_id: int
+    created: dict[str, DataFrame]  # dimension members that came with this batch
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -46,6 +47,7 @@ class Batch:
             "report_sir": self.report_sir,
             "report_answer": self.report_answer,
             "report_train": self.report_train,
+            **{f"dim_{name}": rows for name, rows in self.created.items()},
         }
 
 
@@ -123,6 +125,16 @@ def ingest(
         report_answer,
         report_train,
         Dimensions(dims.species, genus, sample, drugs, answers, dims.sir_sub_type),
+        file_id,
+        {
+            name: after.join(before.select("id"), "id", "left_anti")
+            for name, after, before in (
+                ("bacteria_genus", genus, dims.bacteria_genus),
+                ("submitted_sample", sample, dims.submitted_sample),
+                ("antimicrobial_sir", drugs, dims.antimicrobial_sir),
+                ("antimicrobial_answer", answers, dims.antimicrobial_answer),
+            )
+        },
     )
 
 
@@ -136,23 +148,37 @@ def process_upload(
     last_report_id: int = 0,
     labels: list[int] | None = None,
 ) -> tuple[str, DataFrame, Batch | None]:
-    """Check an upload, then load and append it.
+    """Check an upload, then load and store it: facts, new members, file row, log row and result rows.
 
-    Returns 'fail' with the issues, or 'success' with the new-value warnings and the batch.
+    A second run of the same file_id replaces what the first one stored. Returns 'fail' with the issues, or 'success' with the new-value warnings and the batch.
     `stored` is the wide report of the active batches; without it nothing counts as stored.
     """
     upload = checkpointed(upload)
     issues = checkpointed(quality_report(upload, PANELS[panel], stored))
+    log = "file_id long, vitek_id int, status string, amount_row long"
     if not issues.isEmpty():
+        store(upload.sparkSession.createDataFrame([(file_id, panel, "fail", None)], log), folder, "upload_log", file_id)
+        store(issues, folder, "upload_result", file_id)
         return "fail", issues, None
     warnings = None if stored is None else checkpointed(new_value_report(upload, stored))
     batch = ingest(upload, dims, panel, file_id, last_report_id, labels)
     append_batch(batch, folder)
+    done = upload.sparkSession.createDataFrame([(file_id, panel, "success", upload.count())], log)
+    store(done.select("file_id", "vitek_id", "amount_row", F.lit(True).alias("active")), folder, "file", file_id)
+    if warnings is not None:
+        store(warnings, folder, "upload_warning", file_id)
+    store(done, folder, "upload_log", file_id)
     return "success", issues if warnings is None else warnings, batch
 
 
 def append_batch(batch: Batch, folder: str) -> None:
-    """Append the facts; reports are partitioned by batch so that snapshots prune."""
+    """Store a batch: facts and new dimension members, each partitioned by batch so that snapshots prune."""
     for name, rows in batch.tables().items():
-        append_rows(rows, f"{folder.rstrip('/')}/{name}", ["file_id"] if name == "report" else None)
+        store(rows, folder, name, batch.file_id)
 
+
+def store(rows: DataFrame, folder: str, name: str, file_id: int) -> None:
+    """Write the rows of one batch; rows of the same batch that are there already are replaced."""
+    out = rows.withColumn("file_id", F.lit(file_id).cast("long"))
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("file_id").parquet(f"{folder.rstrip('/')}/{name}")

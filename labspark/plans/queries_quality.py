@@ -13,7 +13,10 @@ _FAULTY = """upload AS (
   SELECT o_orderkey + 2 AS line_no,
     CASE WHEN o_totalprice > 400000 THEN '' ELSE o_custkey::varchar END AS hn,
     strftime(o_orderdate, '%Y-%m-%d') AS date_of_submission,
-    CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS report_issued_date,
+    CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'soon' WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%m/%d/%Y')
+      WHEN o_orderpriority = '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30.5' WHEN o_orderpriority = '3-MEDIUM' THEN strftime(o_orderdate, '%Y/%m/%d')
+      WHEN o_orderpriority = '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y%m%d') WHEN o_orderstatus = 'P' THEN '13/13/' || strftime(o_orderdate, '%Y')
+      ELSE strftime(o_orderdate, '%b %d, %Y') END AS report_issued_date,
     o_orderstatus AS species,
     CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_totalprice > 250000 THEN '   ' ELSE 'genus' END AS bacteria_genus,
     o_orderpriority AS submitted_sample,
@@ -26,7 +29,7 @@ _BLANK = " UNION ALL ".join(
     for c in (*quality.REQUIRED, "ans_x")
 )
 _DATES = """SELECT 'bad_date' AS code, 'report_issued_date' AS "column", line_no AS n FROM upload
-  WHERE try_strptime(report_issued_date, '%Y-%m-%d') IS NULL"""
+  WHERE report_issued_date = 'soon' OR report_issued_date LIKE '13/13/%'"""
 _FLAGS = """SELECT 'bad_flag' AS code, 'ans_x' AS "column", line_no AS n FROM upload
   WHERE lower(ans_x) NOT IN ('true', 'false')"""
 _PANEL = """SELECT 'wrong_panel' AS code, 'vitek_id' AS "column", line_no AS n FROM upload
@@ -45,11 +48,16 @@ def faulty_upload(spark, folder):
     """Orders as an upload with faults that depend on the data of the row."""
     status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    forms = {"1-URGENT": "MM/dd/yyyy", "2-HIGH": "yyyy-MM-dd'T10:20:30.5'", "3-MEDIUM": "yyyy/MM/dd", "4-NOT SPECIFIED": "yyyyMMdd"}
+    written = F.when((priority == "5-LOW") & (status == "P"), F.date_format("o_orderdate", "'13/13/'yyyy"))
+    for name, form in forms.items():
+        written = written.when(priority == name, F.date_format("o_orderdate", form))
+    written = written.otherwise(F.date_format("o_orderdate", "MMM dd, yyyy"))
     return table(spark, folder, "orders").select(
         (F.col("o_orderkey") + 2).alias("line_no"),
         F.when(price > 400000, "").otherwise(F.col("o_custkey").cast("string")).alias("hn"),
         day.alias("date_of_submission"),
-        F.when((status == "P") & (priority == "1-URGENT"), "soon").otherwise(day).alias("report_issued_date"),
+        F.when((status == "P") & (priority == "1-URGENT"), "soon").otherwise(written).alias("report_issued_date"),
         status.alias("species"),
         F.when((priority == "4-NOT SPECIFIED") & (price > 250000), "   ").otherwise("genus").alias("bacteria_genus"),
         priority.alias("submitted_sample"),

@@ -38,11 +38,14 @@ def test_symbols_round_trip(spark):
 
 
 def test_parse_date(spark):
-    day = dt.date(2021, 3, 4)
-    assert apply(
-        spark, "string", ["2021-03-04", "2021-03-04 10:11:12", "4/3/2021", " 4-Mar-2021 ", "soon", "2021-13-01", None],
-        values.parse_date,
-    ) == [day, day, day, day, None, None, None]
+    """Month first; day first only where the first number is no month."""
+    same = ["2020-03-04", " 2020-3-4 10:20:30", "2020-03-04T10:20:30.123", "03/04/2020", "3/4/2020", "2020/03/04", "20200304", "Mar 4, 2020",
+            "March 4, 2020", " 4-Mar-2020 ", "04 Mar 2020", "3-4-2020 10:20"]
+    assert apply(spark, "string", same, values.parse_date) == [dt.date(2020, 3, 4)] * len(same)
+    late = ["25/12/2020", "12/25/2020", "25-12-2020", "Dec 25, 2020"]
+    assert apply(spark, "string", late, values.parse_date) == [dt.date(2020, 12, 25)] * 4
+    bad = ["soon", "", None, "13/13/2020", "2020-02-30", "2020-01-01 25:00", "4 March"]
+    assert apply(spark, "string", bad, values.parse_date) == [None] * len(bad)
 
 
 def test_elapsed_keeps_days(spark):

@@ -42,10 +42,11 @@ def test_upload_stream_takes_files_one_by_one(spark):
     def handle(upload, file_id):
         seen[file_id] = [tuple(r) for r in upload.orderBy("line_no").collect()]
 
-    process_uploads(upload_stream(spark, path), handle, once=True).awaitTermination(120)
-    assert seen == {
-        0: [("a0", None, 2), ("a1", None, 3), ("a2", None, 4)], 1: [("b0", None, 2), ("b1", None, 3)],
-    }
+    checkpoint = scratch_path(spark, "stream")
+    process_uploads(upload_stream(spark, path), handle, checkpoint, once=True).awaitTermination(120)
+    assert list(seen.values()) == [[("a0", None, None, 2), ("a1", None, None, 3), ("a2", None, None, 4)], [("b0", None, None, 2), ("b1", None, None, 3)]]
+    process_uploads(upload_stream(spark, path), handle, checkpoint, once=True).awaitTermination(120)
+    assert len(seen) == 2
 
 
 def test_process_upload(spark):
@@ -61,6 +62,50 @@ def test_process_upload(spark):
     )
     assert status == "success" and [tuple(r) for r in warnings.collect()] == [("submitted_sample", "tail")]
     assert spark.read.parquet(f"{folder}/report").count() == 300
+    log = [(r.file_id, r.status, r.amount_row) for r in spark.read.parquet(f"{folder}/upload_log").collect()]
+    assert log == [(1, "success", 300)] and spark.read.parquet(f"{folder}/file").first().active
+
+
+def test_csv_edges(spark, tmp_path):
+    """Doubled quotes, ragged records and line breaks inside quotes; nothing is lost in silence."""
+    good, ragged, broken = (str(tmp_path / n) for n in ("good.csv", "ragged.csv", "broken.csv"))
+    (tmp_path / "good.csv").write_text('a,b\n1,"say ""hi"", ok"\n')
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    (tmp_path / "broken.csv").write_text('a,b\n1,"two\nlines"\n')
+    assert [tuple(r) for r in read_csv(spark, good).collect()] == [("1", 'say "hi", ok')]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_csv(spark, ragged).collect()
+    kept = read_csv(spark, ragged, line_no="line_no", malformed="malformed_record").orderBy("line_no").collect()
+    assert [(r.line_no, r.malformed_record) for r in kept] == [(2, None), (3, "3"), (4, "4,5,6")]
+    assert [tuple(r) for r in read_csv(spark, broken, multi_line=True).collect()] == [("1", "two\nlines")]
+
+
+def test_malformed_records_are_issues(spark):
+    df = upload(spark).withColumn("malformed_record", F.when(F.col("line_no") == 7, "raw"))
+    issues = load.quality_report(df, "GN").collect()
+    assert [(r.stage, r.code, r.lines) for r in issues] == [("value", "malformed_line", "7")]
+
+
+def test_years_outside_the_usual_range(spark, tmp_path):
+    from datetime import datetime
+
+    from labspark.plans import roles
+
+    rows = [(i, 1, "F", 1.0, datetime(y, 5, 1), "x", None, None) for i, y in enumerate((1994, 1996, 2002))]
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string, o_clerk string, o_comment string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "orders.parquet"))
+    assert roles.span(spark, str(tmp_path)) == (1994, 9)
+    got = sorted(tuple(r) for r in roles.links(spark, str(tmp_path)).collect())
+    assert got == sorted([(v, 1994) for v in range(1, 10)] + [(v, 1996) for v in range(3, 10)] + [(9, 2002)])
+
+
+def test_configurations(spark):
+    row = ("a", "XGBClassifier", 10, 0.5, 3, 0.9, 0.8, 0.1, 1, "ADASYN", 2)
+    columns = "label string, algorithm string, n_estimators int, gamma double, max_depth int, subsample double, colsample_bytree double, learning_rate double, random_state int, smote string, smote_random_state int"
+    config = train.configurations(spark.createDataFrame([row], columns))["a"]
+    assert (config.n_estimators, config.gamma, config.smote, config.smote_random_state) == (10, 0.5, "ADASYN", 2)
+    with pytest.raises(ValueError, match="unknown"):
+        train.configurations(spark.createDataFrame([row[:1] + ("os.system",) + row[2:]], columns))
 
 
 def test_empty_list_gives_no_rows(spark):
@@ -97,8 +142,10 @@ def test_ingest(spark):
     }
     folder = scratch_path(spark, "facts")
     load.append_batch(batch, folder)
-    load.append_batch(batch, folder)
-    assert spark.read.parquet(f"{folder}/report").count() == 600
+    load.append_batch(batch, folder)  # the same file_id again changes nothing
+    assert spark.read.parquet(f"{folder}/report").count() == 300
+    assert spark.read.parquet(f"{folder}/report_answer").count() == batch.report_answer.count()
+    assert [r.name for r in spark.read.parquet(f"{folder}/dim_antimicrobial_sir").collect()] == ["new.drug"]
 
 
 @pytest.fixture(scope="module")
@@ -131,7 +178,8 @@ def test_training_and_scoring(spark, panel):
     models, pointers = train.train_panel(wide, assigned, ["x/y", "z"], configs, folder)
     assert {r.label for r in pointers.collect()} == {"x/y", "z"}
     assert models[1].metrics["f1"] == 1.0 and "S/I/R_none" not in models[1].columns
-    assert "other" in models[0].sample_vocabulary and "ear" in models[0].sample_vocabulary
+    names = {r.submitted_sample for r in models[0].sample_vocabulary.collect()}
+    assert "other" in names and "ear" in names
 
     loaded = [train.load_model(spark, m.label, m.path, m.columns, m.sample_vocabulary) for m in models]
     requests = spark.createDataFrame(
@@ -144,6 +192,7 @@ def test_training_and_scoring(spark, panel):
     )
     cases = train.normalise_requests(requests, ["S/I/R_a.1", "S/I/R_b"])
     first = cases.filter("case_id = 1").first()
+    assert {r.case_id: r.status for r in cases.collect()} == {1: "success", 2: "success", 3: "fail"}
     assert (first["S/I/R_a.1"], first["S/I/R_b"], first.submitted_sample) == ("R", "+", "ear")
     got = {(r.case_id, r.label): r.score_pct for r in train.recommend(cases, loaded).collect()}
     assert got[(1, "z")] > 50 and (2, "z") not in got and not any(c == 3 for c, _ in got)
