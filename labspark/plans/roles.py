@@ -71,8 +71,9 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
-    """One result per report and drug: the largest flag."""
-    return lines(spark, folder).groupBy("report_id", "label").agg(F.max("l_returnflag").alias("symbol"))
+    """One result per report and drug: the largest flag. Flags are letters; their codes need no sort before the shuffle."""
+    largest = lines(spark, folder).groupBy("report_id", "label").agg(F.max(F.ascii("l_returnflag")).alias("code"))
+    return largest.select("report_id", "label", F.char("code").alias("symbol"))
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
