@@ -57,7 +57,7 @@ def _synthetic_sql(plan: str, near: str) -> str:
   lists AS (SELECT id, list(nid ORDER BY r) AS near FROM {near} WHERE r <= 5 GROUP BY id),
   picked AS (SELECT t.*, near[1 + floor({_HEX.format(t="t", i=1)} * len(near))::int] AS neighbor_id, {_HEX.format(t="t", i=9)} AS gap
     FROM turns t JOIN lists USING (id)),
-  synthetic AS (SELECT p.label, p.id, CAST(turn AS INTEGER) AS turn, neighbor_id, gap,
+  synthetic AS (SELECT p.label, p.id, CAST(turn AS BIGINT) AS turn, neighbor_id, gap,
       list_transform(list_zip(p.vec, e.vec), lambda z: z[1] + gap * (z[2] - z[1])) AS vec
     FROM picked p JOIN v e ON e.id = neighbor_id)"""
 
@@ -69,16 +69,15 @@ def _in_turn_sql(rows: str) -> str:
 
 
 _SMOTE = f"{_PAIRS}, {_in_turn_sql('minority')}, {_synthetic_sql('plan', 'own')}"
-_SHOW = """SELECT label, id, turn, neighbor_id, round(gap, 6) AS gap, round(vec[1], 6) AS first_x, round(vec[64], 6) AS last_x,
-  round(list_sum(vec), 5) AS sum_x FROM synthetic"""
+_SHOW = """SELECT label, id, turn, neighbor_id, round(gap, 6) AS gap,
+  array_to_string(list_transform(vec, lambda x: CAST(round(x * 100000) AS BIGINT)), ',') AS vec FROM synthetic"""
 
 
 def _shown(synthetic):
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    """Whole vectors, in units of 1/100,000."""
+    units = F.transform("vec", lambda x: F.round(x * 100_000).cast("long").cast("string"))
     return synthetic.select(
-        "label", "id", "turn", "neighbor_id", F.round("gap", 6).alias("gap"),
-        F.round(F.element_at("vec", 1), 6).alias("first_x"), F.round(F.element_at("vec", -1), 6).alias("last_x"),
-        F.round(total, 5).alias("sum_x"),
+        "label", "id", "turn", "neighbor_id", F.round("gap", 6).alias("gap"), F.array_join(units, ",").alias("vec")
     )
 
 
