@@ -20,7 +20,7 @@ LEAST_WORDS = 5
 THRESHOLD = 1
 #: Lines that share a segment are compared pair by pair in buckets up to this size.
 MAX_BUCKET = 48
-#: A broadcast of candidate line hashes may have so many rows of 8 bytes; the check of its bytes stays in force.
+#: A broadcast of the places of candidate lines may have so many rows; the check of its bytes stays in force.
 MAX_SENT = 1_000_000
 
 
@@ -29,6 +29,12 @@ def _codes(line: Column) -> Column:
     return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
+def _even(line: Column) -> Column:
+    """The line with one space between words, which are what spaces, tabs and carriage returns part."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+
+
 def _word_count(line: Column) -> Column:
     """Words of a line that has one space between words."""
     return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
@@ -40,14 +46,14 @@ def _begin(length: Column, segment: int, parts: int) -> Column:
 
 
 def segment_keys(line: Column, words: Column, threshold: int = THRESHOLD) -> Column:
-    """Array of (key, own): the line's threshold + 1 segments, and the substrings with which it probes others'.
+    """Keys of the line's threshold + 1 segments, then of the substrings with which it probes others' segments.
 
     A line of n words indexes its own segments under (n, number, text). It probes lines
     of n - d words, d up to the threshold, at the places where segment i may stand: at
     most i - 1 words off when counted from the left, and threshold + 1 - i words off when
     counted from the right.
     """
-    parts, keys = threshold + 1, []
+    parts, keys, probes = threshold + 1, [], []
 
     def first(text: Column, n: Column) -> Column:
         return F.call_function("substring_index", text, F.lit(" "), n)
@@ -63,9 +69,8 @@ def segment_keys(line: Column, words: Column, threshold: int = THRESHOLD) -> Col
                 cut = line if i == parts and shift == d else first(line, at + size)
                 cut = cut if i == 1 else first(cut, -size)
                 fits = (length >= LEAST_WORDS - threshold) & (at >= 0) & (at + size <= words) & (size > 0)
-                key = F.struct(F.xxhash64(length, F.lit(i), cut).alias("key"), F.lit(own).alias("own"))
-                keys.append(F.when(fits, key))
-    return F.array(*keys)
+                (keys if own else probes).append(F.when(fits, F.xxhash64(length, F.lit(i), cut)))
+    return F.array(*keys, *probes)
 
 
 def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -112,11 +117,7 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.filter(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("pos", "line")
     )
-    odd = F.col("line").contains("  ")
-    for space in "\t\v\f\r":
-        odd = odd | F.col("line").contains(space)
-    even = F.when(odd, F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("line"))
-    rows = rows.withColumn("line", F.btrim(even, F.lit(" "))).withColumn("words", _word_count(F.col("line")))
+    rows = rows.withColumn("line", _even(F.col("line"))).withColumn("words", _word_count(F.col("line")))
     return rows.filter(F.col("words") >= LEAST_WORDS)
 
 
@@ -124,11 +125,17 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(h, codes) of the lines whose hash is in `wanted.h`."""
-    lines = lines_of(docs, doc_id, text).select(_hash(F.col("line")).alias("h"), "line")
-    found = lines.join(bounded(wanted, MAX_SENT), "h", "left_semi")
-    return found.groupBy("h", "line").agg(F.lit(1)).select("h", _codes(F.col("line")).alias("codes"))
+def _texts(docs: DataFrame, doc_id: str, text: str, places: DataFrame) -> DataFrame:
+    """(h, codes) of the lines at the places (h, first): only documents that hold one are split."""
+    wanted = places.groupBy(F.col("first.doc_id").alias("d"), F.col("first.content").alias("c")).agg(
+        F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("wanted")
+    )
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), F.col(text).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))
+    found = keyed.join(bounded(wanted, MAX_SENT), same).select(F.split("text", "\n").alias("lines"), "wanted")
+    lines = found.select("lines", F.explode("wanted").alias("w")).select("w.h", F.lower(F.get("lines", F.col("w.pos"))).alias("line"))
+    # Rows repeated with their id give a line twice.
+    return lines.groupBy("h").agg(F.min("line").alias("line")).select("h", _codes(_even(F.col("line"))).alias("codes"))
 
 
 def _stars(lines: DataFrame) -> DataFrame:
@@ -155,14 +162,15 @@ def _stars(lines: DataFrame) -> DataFrame:
     return stars.unionByName(shorter).filter("a <> b").distinct()
 
 
-def links(occurrences: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: int = THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def links(occurrences: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: int = THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Verified pairs (a, b) of line hashes that join all lines at most `threshold` words apart into their classes.
 
-    `occurrences` has (h, keys). Buckets up to `max_bucket` lines are compared pair by
+    `occurrences` has (h, keys), `firsts` a place of each hash. Buckets up to `max_bucket` lines are compared pair by
     pair. Lines of larger buckets are linked through their variants, a number of rows in
     proportion to their words; a threshold above one knows no such way and compares all.
     """
-    emitted = occurrences.select("h", F.explode("keys").alias("k")).filter("k is not null").select("h", "k.key", "k.own")
+    emitted = occurrences.select("h", F.posexplode("keys").alias("at", "key")).filter("key is not null")
+    emitted = emitted.select("h", "key", (F.col("at") <= threshold).alias("own"))
     lines = emitted.groupBy("key", "h").agg(F.max("own").alias("own"))
     sizes = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
     met = checkpointed(lines.join(sizes.select("key", "n"), "key"))
@@ -171,7 +179,7 @@ def links(occurrences: DataFrame, docs: DataFrame, doc_id: str, text: str, thres
     probe = cold.select("key", F.col("h").alias("b"), "own")
     pairs = index.join(probe, "key").filter("a <> b and (not own or a < b)")
     near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = checkpointed(_texts(docs, doc_id, text, met.select("h").distinct()))
+    known = checkpointed(_texts(docs, doc_id, text, firsts.join(met.select("h").distinct(), "h", "left_semi")))
     if threshold == 1:
         hot = met.filter(f"n > {max_bucket}").select("h").distinct()
         near = near.unionByName(_stars(known.join(hot, "h", "left_semi")))
@@ -193,7 +201,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "content", "pos")
     firsts = checkpointed(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    groups = components(links(rows, docs, doc_id, text, threshold, max_bucket), "a", "b")
+    groups = components(links(rows, firsts, docs, doc_id, text, threshold, max_bucket), "a", "b")
     rooted = firsts.join(groups, F.col("h") == F.col("node"), "left").filter("n > 1 or root is not null")
     rooted = checkpointed(rooted.select("h", "first", F.coalesce("root", "h").alias("root")))
     owners = rooted.groupBy("root").agg(F.min("first").alias("owner"))

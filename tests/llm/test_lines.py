@@ -10,7 +10,7 @@ from labspark.llm.queries import QUERIES
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
-SPLIT = re.compile(r"[\x20\x09\x0B-\x0D]+")
+SPLIT = re.compile(r"[ \t\r]+")
 
 
 def distance(a, b):
@@ -27,7 +27,7 @@ def brute_dedup(docs, threshold=1):
     seen = {}
     for key, text in docs:
         for pos, line in enumerate((text or "").lower().split("\n")):
-            line = line.strip(" \t\v\f\r")
+            line = line.strip(" \t\r")
             if len(SPLIT.split(line)) >= 5:
                 seen.setdefault(line, []).append((key, pos))
     names = list(seen)
