@@ -127,10 +127,12 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     the texts by id serves both as donors and as receivers.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_sketch(rows)
-    nexts = successors(rows, "doc_id", "text")
+    # As a struct, the id is equal to itself where it is null too, and one exchange serves grouping and joining.
+    rows = with_sketch(rows).select(F.struct("doc_id").alias("key"), "text", "sketch")
+    nexts = successors(rows.select("key.doc_id", "text"), "doc_id", "text")
+    nexts = nexts.select(F.struct("receiver").alias("receiver"), F.struct("donor").alias("donor"), "need")
     given = (
-        rows.join(nexts, F.col("doc_id").eqNullSafe(F.col("donor")))
+        rows.join(nexts, F.col("key") == F.col("donor"))
         .select("receiver", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("sketch").alias("next")).alias("g"))
         .groupBy("receiver")
         .agg(F.min("g").alias("g"))
@@ -139,8 +141,8 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("g.head", F.lit(1), half))
     both = (
-        rows.join(given, F.col("doc_id").eqNullSafe(F.col("receiver")))
-        .select("doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("g.next").alias("next"), edited.alias("edited"))
+        rows.join(given, F.col("key") == F.col("receiver"))
+        .select("key.doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("g.next").alias("next"), edited.alias("edited"))
         .select("*", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
         .select(
             "*",
