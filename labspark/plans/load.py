@@ -52,9 +52,9 @@ class Batch:
 
 
 def normalise(upload: DataFrame) -> DataFrame:
-    """Typed and cleaned report columns of an upload; result and answer columns are left out."""
+    """Typed and cleaned report columns of a numbered upload; result and answer columns are left out."""
     return upload.select(
-        "line_no",
+        "report_id",
         F.col("hn").cast("string").alias("hn"),
         parse_date(F.col("date_of_submission")).alias("date_of_submission"),
         parse_date(F.col("report_issued_date")).alias("report_issued_date"),
@@ -87,32 +87,31 @@ def ingest(
     follow `last_report_id` in line order. `labels` are the answer ids to split for;
     without them all answers of the panel after the load.
     """
-    upload = checkpointed(upload)  # read and parsed once
+    # Numbered before it is taken apart: facts carry the report id and need no join. Written once on the way.
+    upload = number_rows(upload, [F.col("line_no")], "report_id", last_report_id + 1)
     base = normalise(upload)
     genus = bounded(get_or_create(base, "bacteria_genus", dims.bacteria_genus))
     sample = bounded(get_or_create(base, "submitted_sample", dims.submitted_sample))
 
-    numbered = number_rows(base, [F.col("line_no")], "report_id", last_report_id + 1)
-    keyed = lookup_or_other(numbered, "species", dims.species, "species_id")
+    keyed = lookup_or_other(base, "species", dims.species, "species_id")
     keyed = with_ids(keyed, "bacteria_genus", genus, "bacteria_genus_id")
     keyed = with_ids(keyed, "submitted_sample", sample, "submitted_sample_id")
     report = keyed.select(
-        "report_id", "line_no", "hn", "date_of_submission", "report_issued_date", "species_id",
+        "report_id", "hn", "date_of_submission", "report_issued_date", "species_id",
         "bacteria_genus_id", "submitted_sample_id", F.lit(panel).alias("vitek_id"), F.lit(file_id).alias("file_id"),
     )
-    report = split_by_case(report, seed=seed)
-    ids = report.select("line_no", "report_id")
+    report = checkpointed(split_by_case(report, seed=seed))
 
-    symbols = melt_symbols(upload, ["line_no"])
+    symbols = melt_symbols(upload, ["report_id"])
     drugs = bounded(sir_drugs(symbols, dims.antimicrobial_sir))
     drug_ids = drugs.select(F.col("id").alias("antimicrobial_id"), "name", "sir_type_id")
     typed = with_sub_type(symbols.join(drug_ids, "name"), dims.sir_sub_type)
-    report_sir = typed.join(ids, "line_no").select("report_id", "antimicrobial_id", "sir_sub_id")
+    report_sir = typed.select("report_id", "antimicrobial_id", "sir_sub_id")
 
-    flags = melt_flags(upload, ["line_no"])
+    flags = melt_flags(upload, ["report_id"])
     answers = bounded(get_or_create(flags, "name", dims.antimicrobial_answer))
     report_answer = (
-        with_ids(flags, "name", answers, "antimicrobial_id").join(ids, "line_no").select("report_id", "antimicrobial_id")
+        with_ids(flags, "name", answers, "antimicrobial_id").select("report_id", "antimicrobial_id")
     )
     if labels is None:
         labels = distinct_values(answers, "id")
@@ -120,7 +119,7 @@ def ingest(
         report.filter("type = 'train'"), report_answer, labels, "report_id", "antimicrobial_id", seed
     ).select("report_id", "antimicrobial_id", "sub_type")
     return Batch(
-        report.drop("line_no"),
+        report,
         report_sir,
         report_answer,
         report_train,

@@ -201,6 +201,18 @@ def test_training_and_scoring(spark, panel):
     by_case = train.evaluate_by_case(models, test).first()
     assert by_case.n_cases == 40 and 0 <= by_case.f1 <= 1
 
+    typed = wide.withColumn("vitek_id", F.lit(1))
+    batches = wide.select("file_id").distinct()
+    new, tables = train.training_run(
+        typed, assigned, ["z"], configs, scratch_path(spark, "models"), 1, 4, batches, models, last_current=4
+    )
+    groups = {r.version: r for r in tables["model_group"].collect()}
+    assert set(groups) == {0, 5} and groups[5].n_cases == 40 and groups[5].f1 == 1.0
+    assert {(r.model_group_id, r.model_id) for r in tables["model_group_model"].collect()} == {(5, new[0].path), (0, new[0].path)}
+    assert [(r.label, r.version) for r in tables["model_current"].collect()] == [("z", 5)]
+    assert tables["model_group_file"].count() == 1 and "ear" in tables["binning"].first().schema
+    assert tables["model"].first().performance == "same"
+
     again, promoted = train.train_panel(wide, assigned, ["z"], configs, scratch_path(spark, "models"), champions=models)
     assert promoted.first().model_id == again[0].path  # the same F1 promotes
 
