@@ -117,7 +117,7 @@ def ingest(
         labels = distinct_values(answers, "id")
     report_train = split_by_label(
         report.filter("type = 'train'"), report_answer, labels, "report_id", "antimicrobial_id", seed
-    ).select("report_id", "antimicrobial_id", "sub_type")
+    ).select("report_id", F.col("antimicrobial_id").cast("long").alias("antimicrobial_id"), "sub_type")
     return Batch(
         report,
         report_sir,

@@ -232,7 +232,7 @@ def _cleaned(col: str) -> str:
     return out
 
 
-_INGEST = f"""WITH {REPORTS}, {LINES}, {SYMBOLS}, {ANSWERS},
+_LOADED = f"""WITH {REPORTS}, {LINES}, {SYMBOLS}, {ANSWERS},
   species_dim AS (SELECT unnest({list(_SPECIES)}) AS name, unnest(range(1, 6)) AS id),
   genus_dim AS (SELECT 'nation_0' AS name, 7 AS id UNION ALL
     SELECT name, 7 + row_number() OVER (ORDER BY name) FROM (
@@ -245,7 +245,8 @@ _INGEST = f"""WITH {REPORTS}, {LINES}, {SYMBOLS}, {ANSWERS},
       FROM symbols JOIN reports USING (report_id) WHERE label <> 'PROMO' GROUP BY label)),
   answer_dim AS (SELECT label AS name, row_number() OVER (ORDER BY label) AS id FROM (
       SELECT DISTINCT label FROM answers JOIN reports USING (report_id))),
-  report AS (SELECT r.report_id AS line, 100 + row_number() OVER (ORDER BY r.report_id) AS rid,
+  report AS (SELECT r.report_id AS line, 100 + row_number() OVER (ORDER BY r.report_id) AS rid, r.hn::varchar AS hn,
+      strftime(issued, '%Y-%m-%d') AS date_of_submission, strftime(issued + INTERVAL 2 DAY, '%Y-%m-%d') AS report_issued_date,
       coalesce(s.id, 5) AS species_id, g.id AS genus_id, m.id AS sample_id
     FROM reports r LEFT JOIN species_dim s ON s.name = lower(r.species) JOIN genus_dim g ON g.name = lower(r.genus)
     JOIN sample_dim m ON m.name = {_cleaned("'Rt. ' || r.sample || ' (swab)'")}),
@@ -255,7 +256,9 @@ _INGEST = f"""WITH {REPORTS}, {LINES}, {SYMBOLS}, {ANSWERS},
   ans AS (SELECT rid, d.id AS drug FROM answers JOIN report ON line = report_id JOIN answer_dim d ON d.name = label),
   pairs AS (SELECT c.rid, c.drug, a.rid IS NOT NULL AS has_answer
     FROM (SELECT rid, id AS drug FROM bycase, answer_dim WHERE type = 'train') c LEFT JOIN ans a USING (rid, drug)),
-  {quota_sql("pairs", "drug", "has_answer", "rid", 0.2, 1, "bydrug")}
+  {quota_sql("pairs", "drug", "has_answer", "rid", 0.2, 1, "bydrug")}"""
+
+_INGEST = f"""{_LOADED}
   SELECT 'report' AS fact, type AS part, count(*) AS n, sum(rid)::bigint AS report_sum,
     sum(species_id + 10 * genus_id + 1000 * sample_id)::bigint AS key_sum FROM bycase GROUP BY ALL
   UNION ALL SELECT 'report_sir', coalesce(sub::varchar, 'none'), count(*), sum(rid)::bigint, sum(drug)::bigint FROM sir GROUP BY ALL
@@ -295,3 +298,36 @@ def ingest(spark, folder):
         summary(batch.report_train, "report_train", F.col("sub_type"), drug),
     ]
     return bounded(reduce(DataFrame.unionByName, parts))
+
+
+@query(
+    "ingest_report",
+    f"""{_LOADED} SELECT rid AS report_id, hn, date_of_submission, report_issued_date, CAST(species_id AS BIGINT) AS species_id,
+    CAST(genus_id AS BIGINT) AS bacteria_genus_id, CAST(sample_id AS BIGINT) AS submitted_sample_id, type FROM bycase""",
+)
+def ingest_report(spark, folder):
+    dates = {c: F.col(c).cast("string") for c in ("date_of_submission", "report_issued_date")}
+    return ingest_batch(spark, folder).report.withColumns(dates).select(
+        "report_id", "hn", *dates, "species_id", "bacteria_genus_id", "submitted_sample_id", "type"
+    )
+
+
+@query(
+    "ingest_sir",
+    f"{_LOADED} SELECT rid AS report_id, CAST(drug AS BIGINT) AS antimicrobial_id, CAST(sub AS INTEGER) AS sir_sub_id FROM sir",
+)
+def ingest_sir(spark, folder):
+    return ingest_batch(spark, folder).report_sir
+
+
+@query("ingest_answer", f"{_LOADED} SELECT rid AS report_id, CAST(drug AS BIGINT) AS antimicrobial_id FROM ans")
+def ingest_answer(spark, folder):
+    return ingest_batch(spark, folder).report_answer
+
+
+@query(
+    "ingest_train",
+    f"{_LOADED} SELECT rid AS report_id, CAST(drug AS BIGINT) AS antimicrobial_id, type AS sub_type FROM bydrug",
+)
+def ingest_train(spark, folder):
+    return ingest_batch(spark, folder).report_train
