@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labspark.llm.common import content
 from labspark.llm.license_texts import KNOWN
-from labspark.session import bounded
+from labspark.session import bounded, checkpointed
 
 #: Spellings that count as the same word; the second replaces the first.
 SPELLINGS = (
@@ -90,6 +90,7 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     lines = docs.select(
         F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), spelled(canonical(F.col(text))).alias("c")
     ).select("doc_id", "content", digest(whole(F.col("c"))).alias("digest"), F.transform(F.split("c", "\n"), lambda x: digest(F.btrim(x))).alias("each"))
+    lines = checkpointed(lines)  # texts are brought to canonical form once, for whole texts and for lines
     table = bounded(known)
     found = (
         lines.select("doc_id", "content", F.posexplode("each").alias("pos", "line_digest"))
