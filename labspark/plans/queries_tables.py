@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labspark.functions.text import blank_to_null, lower_strip
+from labspark.functions.text import blank_to_null, first_token, lower_strip
 from labspark.operators import dims, quality
 from labspark.operators.features import bin_rare
 from labspark.operators.numbering import number_rows
