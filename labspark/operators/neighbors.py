@@ -11,6 +11,7 @@ are all that any query can need, and one query answers for all of its copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from labspark.operators.reshape import top_rows
 from labspark.session import checkpointed
 
-MAX_PIVOTS = 128
-ROWS_PER_PIVOT = 4096
+ONE_CELL_ROWS = 8192  # below this a single cell is cheapest
+ROWS_PER_SQUARE_PIVOT = 36  # pivots grow with the square root of the rows: one for 36 rows, two for 144, …
 BLOCK_ROWS = 2048
+BLOCK_BYTES = 8 * 1024 * 1024  # of vectors in one block
 QUERY_BLOCK_ROWS = 512
 _SLACK = 1e-9  # relative room for rounding in the bounds; candidates are compared exactly
 
@@ -69,7 +71,7 @@ def _assign_cells(base: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def _cell_summaries(cells: DataFrame, k: int) -> dict[str, list[tuple]]:
+def _cell_summaries(cells: DataFrame, k: int, block_rows: int) -> dict[str, list[tuple]]:
     """Per scope its cells: number, blocks, radius and the k smallest distances.
 
     One row per scope and cell, so its size depends on the pivots, not on the data.
@@ -84,7 +86,7 @@ def _cell_summaries(cells: DataFrame, k: int) -> dict[str, list[tuple]]:
     )
     summary: dict[str, list[tuple]] = {}
     for row in sizes.join(inner, ["scope", "cell"]).collect():
-        blocks = -(-row.n // BLOCK_ROWS)
+        blocks = -(-row.n // block_rows)
         summary.setdefault(row.scope, []).append((row.cell, blocks, row.low, row.high, list(row.inner)))
     return summary
 
@@ -198,13 +200,16 @@ def nearest(
     reach = k + 1  # one more, because a row may meet itself
     folded = checkpointed(top_rows(points, ["scope", "vec"], [F.col("id")], reach).drop("rank"))
     counts = {r.scope: r["count"] for r in folded.groupBy("scope").count().collect()}
-    pivots = _pick_pivots(folded, max(1, min(MAX_PIVOTS, sum(counts.values()) // ROWS_PER_PIVOT)))
+    n_rows = sum(counts.values())
+    pivots = _pick_pivots(folded, isqrt(n_rows // ROWS_PER_SQUARE_PIVOT) if n_rows >= ONE_CELL_ROWS else 1)
+    width = folded.select(F.size("vec").alias("d")).first()
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width.d if width else 1))))
     if len(pivots) == 1:  # nothing to leave out: every query meets all rows of its scope
         cells = folded.withColumn("cell", F.lit(0))
-        summary = {s: [(0, -(-n // BLOCK_ROWS), 0.0, np.inf, [])] for s, n in counts.items()}
+        summary = {s: [(0, -(-n // block_rows), 0.0, np.inf, [])] for s, n in counts.items()}
     else:
         cells = _assign_cells(folded, pivots)
-        summary = _cell_summaries(cells, reach)
+        summary = _cell_summaries(cells, reach, block_rows)
 
     asked = rows.groupBy("scope", "vec").agg(F.min("id").alias("id"))
     visits = _route(asked, pivots, summary, reach).select(

@@ -30,7 +30,8 @@ def found(df):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(neighbors, "ROWS_PER_PIVOT", 20)
+    monkeypatch.setattr(neighbors, "ONE_CELL_ROWS", 20)
+    monkeypatch.setattr(neighbors, "ROWS_PER_SQUARE_PIVOT", 2)
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 8)
     monkeypatch.setattr(neighbors, "QUERY_BLOCK_ROWS", 4)
 
