@@ -70,7 +70,8 @@ def snapshot_top_priorities(spark, folder):
     WHERE rank <= 11""",
 )
 def snapshot_top_labels(spark, folder):
-    return rep.top_labels(_snapshot(spark, folder), roles.answers(spark, folder))
+    given = roles.lines(spark, folder).filter("l_linestatus = 'O'").select("report_id", "label")
+    return rep.top_labels(_snapshot(spark, folder), given)
 
 
 @query(
@@ -81,7 +82,8 @@ def snapshot_top_labels(spark, folder):
     FROM symbols JOIN cases USING (report_id) WHERE {_IN_SNAPSHOT} GROUP BY ALL""",
 )
 def snapshot_symbol_pivot(spark, folder):
-    return rep.symbol_distribution(_snapshot(spark, folder), roles.symbols(spark, folder), ["A", "N", "R"])
+    flags = roles.lines(spark, folder).select("report_id", "label", F.col("l_returnflag").alias("flag"))
+    return rep.symbol_distribution(_snapshot(spark, folder), flags, ["A", "N", "R"])
 
 
 @query(

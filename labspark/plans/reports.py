@@ -37,15 +37,25 @@ def cases_by(reports: DataFrame, column: str, k: int | None = None) -> DataFrame
 
 
 def top_labels(reports: DataFrame, answers: DataFrame, k: int = 11) -> DataFrame:
-    """The k most frequently recommended drugs of each panel."""
+    """The k most frequently recommended drugs of each panel.
+
+    `answers` may repeat a report's drug. The reports meet them first, so only rows of
+    the snapshot are made distinct, on the partitioning of that join.
+    """
     given = answers.join(reports.select("report_id", "panel"), "report_id")
-    return cases_by(given, "label", k)
+    return cases_by(given.select("report_id", "panel", "label").distinct(), "label", k)
 
 
-def symbol_distribution(reports: DataFrame, symbols: DataFrame, shown: list[str]) -> DataFrame:
-    """Per panel and drug one count per symbol."""
-    rows = symbols.join(reports.select("report_id", "panel"), "report_id")
-    return rows.groupBy("panel", "label").agg(
+def symbol_distribution(reports: DataFrame, flags: DataFrame, shown: list[str]) -> DataFrame:
+    """Per panel and drug one count per symbol, from one-letter flags (report_id, label, flag).
+
+    The largest flag of a report and drug is its symbol. Reports meet the flags first, so
+    only rows of the snapshot are grouped, on the partitioning of that join; letters are
+    compared by their codes, which need no sort.
+    """
+    rows = flags.join(reports.select("report_id", "panel"), "report_id")
+    largest = rows.groupBy("report_id", "panel", "label").agg(F.max(F.ascii("flag")).alias("code"))
+    return largest.withColumn("symbol", F.char("code")).groupBy("panel", "label").agg(
         *[F.count_if(F.col("symbol") == s).alias(f"n_{s.lower()}") for s in shown]
     )
 
