@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, lines, mixing, neighbours, packing, quality, simhash, sketches, substrings
+from labspark.llm import credentials, licenses, lines, mixing, neighbours, packing, quality, simhash, sketches, sql, substrings
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -56,7 +56,7 @@ def op4_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", sql.SUBSTRING_DEDUP)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     cut = substrings.without_repeats(docs)
@@ -80,7 +80,7 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-@query("op8_license_digests")
+@query("op8_license_digests", sql.LICENSE_DIGESTS)
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return licenses.scan(docs, licenses.known_digests(spark)).select(
