@@ -50,8 +50,12 @@ def terms(text: bytes | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Votes:
-    """A fitted classifier: term weights, the projection, the labelled vectors and their labels. About a megabyte."""
+    """A fitted classifier: the terms it knows, their weights, the projection, the labelled vectors and their labels.
 
+    About a megabyte.
+    """
+
+    known: np.ndarray
     weights: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
@@ -60,7 +64,7 @@ class Votes:
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors in the latent space; a document without terms has the zero vector."""
-        weighted = np.log1p(counts) * self.weights
+        weighted = np.log1p(counts[:, self.known]) * self.weights
         norms = np.linalg.norm(weighted, axis=1, keepdims=True)
         vectors = (weighted / np.where(norms > 0, norms, 1)) @ self.projection
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -96,15 +100,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     labelled = rows.join(bounded(sample, most), (F.col("d") == F.col("_k")) & (F.col("h") == F.col("_h"))).select("h", "y", "t")
     found = _counted(labelled).groupBy("h", "y").agg(F.first("counts").alias("counts")).orderBy("h", "y").limit(most).toArrow()
     y = found.column("y").to_numpy()
-    raw = np.frombuffer(b"".join(found.column("counts").to_pylist()), "<f4").reshape(-1, TERMS).astype(float)
-    present = (raw > 0).sum(axis=0)
-    weights = np.log((1 + len(raw)) / (1 + present)) + 0.2
-    weighted = np.log1p(raw) * weights
+    raw = np.frombuffer(b"".join(found.column("counts").to_pylist()), "<f4").reshape(-1, TERMS)
+    # Few of the terms occur at all; only those are kept in doubles, as the driver has little memory.
+    present = np.count_nonzero(raw, axis=0)
+    known = np.flatnonzero(present)
+    counts = raw[:, known].astype(float)
+    del raw, found
+    weights = np.log((1 + len(counts)) / (1 + present[known])) + 0.2
+    weighted = np.log1p(counts) * weights
     norms = np.linalg.norm(weighted, axis=1, keepdims=True)
     weighted /= np.where(norms > 0, norms, 1)
-    _, _, axes = np.linalg.svd(weighted, full_matrices=False) if len(raw) else (0, 0, np.zeros((0, TERMS)))
-    model = Votes(weights, axes[:DIMENSIONS].T.copy(), np.zeros((0, 0)), y, NEIGHBOURS)
-    return Votes(weights, model.projection, model.latent(raw), y, NEIGHBOURS)
+    # The leading singular vectors, from the small matrix of products between terms.
+    _, axes = np.linalg.eigh(weighted.T @ weighted)
+    projection = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS])
+    every = np.arange(len(known))
+    vectors = Votes(every, weights, projection, np.zeros((0, 0)), y, NEIGHBOURS).latent(counts)
+    return Votes(known, weights, projection, vectors, y, NEIGHBOURS)
 
 
 def _counted(rows: DataFrame) -> DataFrame:

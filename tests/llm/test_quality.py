@@ -25,8 +25,9 @@ def test_held_out_accuracy(spark):
 def test_blocked_vote_equals_plain_vote():
     pick = np.random.default_rng(1)
     raw = pick.poisson(0.3, (60, quality.TERMS)).astype(float)
-    model = quality.Votes(np.ones(quality.TERMS), np.linalg.svd(raw)[2][:8].T, np.zeros((0, 0)), (pick.random(60) < 0.7) * 1.0, 5)
-    model = quality.Votes(model.weights, model.projection, model.latent(raw), model.labels, 5)
+    known = np.arange(quality.TERMS)
+    model = quality.Votes(known, np.ones(quality.TERMS), np.linalg.svd(raw)[2][:8].T, np.zeros((0, 0)), (pick.random(60) < 0.7) * 1.0, 5)
+    model = quality.Votes(known, model.weights, model.projection, model.latent(raw), model.labels, 5)
     probe = pick.poisson(0.3, (7, quality.TERMS)).astype(float)
     for row, score in zip(model.latent(probe), model.scores(probe)):
         near = sorted(((float(row @ v), y) for v, y in zip(model.vectors, model.labels)), reverse=True)[:5]
