@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 
 from labspark.session import bounded, checkpointed
 
-TABLES = 4
+TABLES = 2
 #: Vectors per bucket that the number of hash functions aims at.
-BUCKET = 128
-#: Vectors and queries that meet in one group at most.
-BLOCK = 2_048
+BUCKET = 1_024
+#: Hash values that the buckets of one shelf may differ in. Shelves are what is shuffled.
+FREE = 3
+#: Vectors and queries that meet in one group at most; queries that are scored at once.
+BLOCK = 16_384
+SCORED = 256
 #: Recall on the sample queries for which probes are added.
-TARGET_RECALL = 0.96
+TARGET_RECALL = 0.97
 SAMPLE_QUERIES = 200
-MAX_PROBES = 4_096
-MAX_SAMPLE = 20_000
+#: Vectors of the sample that gives the width of the cells.
+SAMPLE_VECTORS = 2_000
+MAX_PROBES = 1_024
 
 
 @dataclass(frozen=True)
@@ -45,10 +49,14 @@ class Index:
         """(rows, tables, functions): places on the hash lines, in units of the width."""
         return (np.einsum("tmd,nd->ntm", self.a, lifted) + self.b) / self.width
 
+    def shelves(self, cells: np.ndarray) -> np.ndarray:
+        """Ids of what buckets are kept together: those that agree in all but the last FREE hash values."""
+        return bucket_ids(cells[..., : max(0, cells.shape[-1] - FREE)])
+
 
 def bucket_ids(cells: np.ndarray) -> np.ndarray:
     """One 64-bit id per vector of hash values."""
-    out = np.full(cells.shape[:-1], 0x9E3779B97F4A7C15, np.uint64)
+    out = np.full((*cells.shape[:-1], 1), 0x9E3779B97F4A7C15, np.uint64)[..., 0]
     for i in range(cells.shape[-1]):
         out = (out ^ cells[..., i].astype(np.int64).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
@@ -114,12 +122,20 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def exact(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query, id, score) of the k best for each query in one block; scores are recomputed pair by pair."""
+def exact(
+    queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None
+) -> list[tuple]:
+    """(query, id, score) of the k best for each query in one block; scores are recomputed pair by pair.
+
+    `allowed` (queries, rows) leaves out what a query did not probe.
+    """
     out = []
     rough = queries @ base.T
+    if allowed is not None:
+        rough[~allowed] = -np.inf
     for q in range(len(queries)):
         near = _top(rough[q], ids, k + 8)
+        near = near[rough[q][near] > -np.inf]
         scores = (base[near] * queries[q]).sum(axis=1)
         best = _top(scores, ids[near], k)
         out += [(int(query_ids[q]), int(ids[near[i]]), float(scores[i])) for i in best]
@@ -129,6 +145,11 @@ def exact(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.
 _FOUND = "query long, vec long, score double"
 
 
+def _same(v: Column) -> Column:
+    """Equal for equal vectors."""
+    return F.sha2(F.array_join(F.transform(v, lambda x: x.cast("string")), ","), 256)
+
+
 def fold(vectors: DataFrame, vec_id: str, vec: str, copies: int) -> tuple[DataFrame, DataFrame]:
     """Distinct usable vectors (vec = their smallest id, v), and (vec, vec_id) for up to `copies` smallest ids of each.
 
@@ -137,7 +158,7 @@ def fold(vectors: DataFrame, vec_id: str, vec: str, copies: int) -> tuple[DataFr
     rows = vectors.filter(usable(vec)).filter(F.col(vec_id).isNotNull())
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero
-    keyed = rows.select("vec_id", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("same"), "v")
+    keyed = rows.select("vec_id", _same(F.col("v")).alias("same"), "v")
     order = Window.partitionBy("same").orderBy("vec_id")
     ranked = keyed.select("same", "vec_id").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= copies)
     ranked = checkpointed(ranked)
@@ -151,20 +172,20 @@ def fit(base: DataFrame, queries: DataFrame, size: int, k: int, seed: int = 11)
     """Choose functions, width and probes for `base` (vec, v).
 
     The number of functions grows with the logarithm of the rows, so that buckets stay
-    small. Hash lines come from a fixed seed. At most MAX_SAMPLE vectors of lowest hash
+    small. Hash lines come from a fixed seed. SAMPLE_VECTORS vectors of lowest hash
     give the width; up to SAMPLE_QUERIES queries are compared with all rows in blocks, and
     the probes are what brings their neighbours to TARGET_RECALL.
     """
     stats = base.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
     n, norm = stats["n"], float(np.sqrt(stats["top"] or 1.0))
-    functions = max(4, round(np.log2(max(n, 2) / BUCKET) * 1.0))
+    functions = max(2, round(float(np.log(max(n / BUCKET, 1)) / np.log(3))))
     pick = np.random.default_rng(seed)
     a = pick.standard_normal((TABLES, functions, size + 1))
     shifts = pick.random((TABLES, functions))
-    sample = base.orderBy(F.xxhash64("vec"), "vec").limit(min(MAX_SAMPLE, 2_000)).toArrow()
+    sample = base.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).toArrow()
     index = Index(a, np.zeros((TABLES, functions)), 1.0, norm, 1)
     lines = index.places(index.lifted(_matrix(sample.column("v"), size), False))
-    # Cells of two standard deviations, cut near the mean: about two cells hold nearly all of a line.
+    # Cells of two standard deviations: about three hold nearly all of a line.
     width = 2.0 * float(np.sqrt(lines.var(axis=0).mean())) or 1.0
     index = replace(index, width=width, b=shifts * width)
     asked = queries.orderBy(F.xxhash64("vec", F.lit(1)), "vec").limit(SAMPLE_QUERIES).toArrow()
@@ -180,7 +201,7 @@ def fit(base: DataFrame, queries: DataFrame, size: int, k: int, seed: int = 11)
     ]
     own = {q: i for i, q in enumerate(ids.tolist())}
     ranks = sorted(
-        min(table.get(int(bucket_ids(cell)), MAX_PROBES) for table, cell in zip(probes[own[q]], cells[v]))
+        min(table.get(int(bucket_ids(cell[None])[0]), MAX_PROBES) for table, cell in zip(probes[own[q]], cells[v]))
         for q, v in zip(best["query"], best.vec)
     )
     wanted = ranks[min(len(ranks) - 1, int(np.ceil(len(ranks) * TARGET_RECALL)) - 1)] if ranks else 0
@@ -215,29 +236,58 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
 
 
-def _hashed(rows: DataFrame, index: Index, size: int, query: bool) -> DataFrame:
-    """(table, bucket, vec, v): the bucket of each table, or for queries all probed buckets."""
-    sent = rows.sparkSession.sparkContext.broadcast(index)
+def _stored(base: DataFrame, index: Index, size: int) -> DataFrame:
+    """(table, shelf, bucket, vec, v) of every row and table."""
+    sent = base.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = model.places(model.lifted(_matrix(batch.column(1), size), query))
-            for t in range(places.shape[1]):
-                for start in range(0, batch.num_rows, 64):
-                    part = places[start : start + 64, t]
-                    if query:
-                        ids = [bucket_ids(probe_sequence(p, model.probes)) for p in part]
-                    else:
-                        ids = [bucket_ids(np.floor(p)[None]) for p in part]
-                    at = pa.array(np.repeat(np.arange(start, start + len(part)), [len(i) for i in ids]))
-                    buckets = pa.array(np.concatenate(ids))
-                    columns = [pa.array(np.full(len(at), t, np.int32)), buckets, batch.column(0).take(at), batch.column(1).take(at)]
-                    yield pa.RecordBatch.from_arrays(columns, ["table", "bucket", "vec", "v"])
+            cells = np.floor(model.places(model.lifted(_matrix(batch.column(1), size), False)))
+            for t in range(cells.shape[1]):
+                columns = [np.full(len(cells), t, np.int32), model.shelves(cells[:, t]), bucket_ids(cells[:, t])]
+                names = ["table", "shelf", "bucket", "vec", "v"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0), batch.column(1)], names)
 
-    return rows.select("vec", "v").mapInArrow(run, "table int, bucket long, vec long, v array<double>")
+    return base.select("vec", "v").mapInArrow(run, "table int, shelf long, bucket long, vec long, v array<double>")
+
+
+def _probing(queries: DataFrame, index: Index, size: int) -> DataFrame:
+    """(table, shelf, buckets, vec, v): per query and shelf the buckets probed there."""
+    sent = queries.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            places = model.places(model.lifted(_matrix(batch.column(1), size), True))
+            for t in range(places.shape[1]):
+                at, shelves, buckets = [], [], []
+                for row, place in enumerate(places[:, t]):
+                    cells = probe_sequence(place, model.probes)
+                    kept, ids = model.shelves(cells), bucket_ids(cells)
+                    for shelf in np.unique(kept):
+                        at.append(row)
+                        shelves.append(shelf)
+                        buckets.append(ids[kept == shelf])
+                rows = pa.array(at, pa.int64())
+                columns = [pa.array(np.full(len(at), t, np.int32)), pa.array(shelves, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
+                names = ["table", "shelf", "buckets", "vec", "v"]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(rows), batch.column(1).take(rows)], names)
+
+    return queries.select("vec", "v").mapInArrow(run, "table int, shelf long, buckets array<long>, vec long, v array<double>")
+
+
+def _meet(stored: pa.Table, probing: pa.Table, size: int, k: int) -> pa.Table:
+    """The k best for each query among the rows of the buckets that it probes on this shelf."""
+    rows: list[tuple] = []
+    if stored.num_rows and probing.num_rows:
+        ids, matrix = stored.column("vec").to_numpy(), _matrix(stored.column("v"), size)
+        names, bucket = np.unique(stored.column("bucket").to_numpy(), return_inverse=True)
+        for start in range(0, probing.num_rows, SCORED):
+            block = probing.slice(start, SCORED)
+            probed = np.array([np.isin(names, b) for b in block.column("buckets").to_pylist()])
+            rows += exact(_matrix(block.column("v"), size), block.column("vec").to_numpy(), matrix, ids, k, probed[:, bucket])
+    return pa.Table.from_batches([_found_batch(rows)])
 
 
 def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", k: int = 20) -> DataFrame:
@@ -245,8 +295,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec:
 
     Queries are rows of `vectors`; a row is no candidate of itself. Vectors that are null,
     empty, zero or not finite, and rows without id, take no part; a row repeated with its
-    id counts once. Copies of a vector are searched once. Buckets are split into blocks of
-    at most BLOCK vectors and BLOCK queries, so none is too large. A query for which fewer
+    id counts once. Copies of a vector are searched once. Buckets lie on shelves, which are
+    split into blocks of at most BLOCK vectors and BLOCK queries, so none is too large. A query for which fewer
     than k were found is compared with all rows, in blocks. No usable vectors: no rows.
     """
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -256,32 +306,26 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec:
         return empty
     asked = queries.filter(usable(vec)).select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).cast("array<double>").alias("q"))
     asked = asked.filter("query_id is not null").dropDuplicates(["query_id"])
-    named = F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)
+    named = _same(F.col("v"))
     plain = asked.withColumn("v", F.transform("q", lambda x: x + F.lit(0.0))).withColumn("same", named)
     known = base.withColumn("s", named).select("vec", "s")
     asked = checkpointed(plain.join(known, F.col("same") == F.col("s")).select("query_id", "vec"))
     heads = checkpointed(base.join(asked.select("vec").distinct(), "vec", "left_semi"))
     index = fit(base, heads, size, k)
 
-    stored = _hashed(base, index, size, False)
-    counts = stored.groupBy("table", "bucket").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    stored = stored.join(counts, ["table", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec"), "parts").cast("int")).drop("parts")
-    probing = _hashed(heads, index, size, True).join(counts, ["table", "bucket"])
-    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "vec": [], "score": []}).astype({"query": "int64", "vec": "int64", "score": "float64"})
-        rows: list[tuple] = []
-        ids, matrix = left.vec.to_numpy(), _matrix(left.v, size)
-        for start in range(0, len(right), BLOCK):
-            block = right.iloc[start : start + BLOCK]
-            rows += exact(_matrix(block.v, size), block.vec.to_numpy(), matrix, ids, k + 1)
-        return pd.DataFrame(rows, columns=["query", "vec", "score"])
-
-    keys = ["table", "bucket", "part"]
-    met = stored.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(meet, _FOUND)
+    stored, probing = _stored(base, index, size), _probing(heads, index, size)
+    shelf = ["table", "shelf"]
+    parts = F.ceil(F.count("*") / BLOCK).cast("int")
+    sizes = bounded(stored.groupBy(*shelf).agg(parts.alias("parts")).join(probing.groupBy(*shelf).agg(parts.alias("turns")), shelf))
+    part, turn = (F.pmod(F.xxhash64("vec"), n).cast("int") for n in ("parts", "turns"))
+    left = stored.join(sizes, shelf).withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    right = probing.join(sizes, shelf).withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = [*shelf, "part", "turn"]
+    met = (
+        left.select(*group, "bucket", "vec", "v").groupBy(*group)
+        .cogroup(right.select(*group, "buckets", "vec", "v").groupBy(*group))
+        .applyInArrow(lambda a, b: _meet(a, b, size, k + 1), _FOUND)
+    )
     found = checkpointed(_merge(met, k + 1))
     answered = _expand(found, asked, members, k)
     few = answered.groupBy("query_id").agg(F.count("*").alias("n"))
