@@ -158,5 +158,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     dealt = pieces(rows, "doc_id", "text", capacity, paths).withColumn(
         "_group", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)).cast("long")
     )
+    # Ids pass through pandas as text: beside a null a large integer would lose digits there.
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("_group").applyInPandas(lambda g: _pack_group(g, capacity), _SCHEMA.format(kind))
+    named = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    packed = named.groupBy("_group").applyInPandas(lambda g: _pack_group(g, capacity), _SCHEMA.format("string"))
+    return packed.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -73,4 +73,6 @@ def test_nulls_ties_empties_and_clashing_columns(spark):
     long = brute.pd.DataFrame({"doc_id": [3], "text": [rows[4][1]]})
     ids = reference_ids(long.text)[0]
     assert got[got.doc_id == 3].length.sum() == len(ids)
+    huge = spark.createDataFrame([(None, "a"), (2**62 + 1, "b")], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(huge).collect()} == {None, 2**62 + 1}
     assert packing.pack(docs.limit(0)).count() == 0
