@@ -228,6 +228,7 @@ def repeats(rows: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     more = _prefixes(rows).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    more = checkpointed(more)  # as a table, so that the join can split a hot prefix
     met = checkpointed(_suffixes(rows, kind).join(more, "key", "left_semi"))
     classes = checkpointed(met.groupBy("key", "around").agg(F.min(_place(F.col("span"))).alias("first"), F.count("*").alias("n")))
     sizes = classes.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
