@@ -103,6 +103,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 2, max_bucket: int =
         prints.select("fp", _ball(high, masks).alias("variant"), F.lit(1).alias("block"))
     )
     sizes = emitted.groupBy("block", "variant").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = checkpointed(sizes)  # as a table, so that the join can split a hot variant
     met = checkpointed(emitted.join(sizes, ["block", "variant"]))
     cold, hot = met.filter(f"n <= {max_bucket}"), met.filter(f"n > {max_bucket}")
     left = cold.select("block", "variant", F.col("fp").alias("a"))
