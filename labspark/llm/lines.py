@@ -173,7 +173,8 @@ def links(occurrences: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: st
     emitted = emitted.select("h", "key", (F.col("at") <= threshold).alias("own"))
     lines = emitted.groupBy("key", "h").agg(F.max("own").alias("own"))
     sizes = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
-    met = checkpointed(lines.join(sizes.select("key", "n"), "key"))
+    sizes = checkpointed(sizes.select("key", "n"))  # as a table, so that the join can split a hot key
+    met = checkpointed(lines.join(sizes.hint("merge"), "key"))  # the sizes grow with the data: no broadcast
     cold = met if threshold > 1 else met.filter(f"n <= {max_bucket}")
     index = cold.filter("own").select("key", F.col("h").alias("a"))
     probe = cold.select("key", F.col("h").alias("b"), "own")
