@@ -27,6 +27,7 @@ TARGET_RECALL = 0.97
 SAMPLE_QUERIES = 200
 #: Vectors of the sample that gives the width of the cells.
 SAMPLE_VECTORS = 2_000
+#: Probes a table at most. An index that misses TARGET_RECALL within them is not used: fewer functions make larger buckets.
 MAX_PROBES = 1_024
 
 
@@ -168,13 +169,14 @@ def fold(vectors: DataFrame, vec_id: str, vec: str, copies: int) -> tuple[DataFr
     return checkpointed(distinct), checkpointed(members)
 
 
-def fit(base: DataFrame, queries: DataFrame, size: int, k: int, seed: int = 11) -> Index:
+def fit(base: DataFrame, queries: DataFrame, size: int, k: int, seed: int = 11) -> Index | None:
     """Choose functions, width and probes for `base` (vec, v).
 
     The number of functions grows with the logarithm of the rows, so that buckets stay
     small. Hash lines come from a fixed seed. SAMPLE_VECTORS vectors of lowest hash
     give the width; up to SAMPLE_QUERIES queries are compared with all rows in blocks, and
-    the probes are what brings their neighbours to TARGET_RECALL.
+    the probes are what brings their neighbours to TARGET_RECALL. Where MAX_PROBES do not,
+    functions are given up one by one; None if no number of them reaches it.
     """
     stats = base.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
     n, norm = stats["n"], float(np.sqrt(stats["top"] or 1.0))
@@ -183,29 +185,44 @@ def fit(base: DataFrame, queries: DataFrame, size: int, k: int, seed: int = 11)
     a = pick.standard_normal((TABLES, functions, size + 1))
     shifts = pick.random((TABLES, functions))
     sample = base.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).toArrow()
-    index = Index(a, np.zeros((TABLES, functions)), 1.0, norm, 1)
-    lines = index.places(index.lifted(_matrix(sample.column("v"), size), False))
-    # Cells of two standard deviations: about three hold nearly all of a line.
-    width = 2.0 * float(np.sqrt(lines.var(axis=0).mean())) or 1.0
-    index = replace(index, width=width, b=shifts * width)
+    spread = _matrix(sample.column("v"), size)
+
+    def of(m: int) -> Index:
+        index = Index(a[:, :m], np.zeros((TABLES, m)), 1.0, norm, 1)
+        lines = index.places(index.lifted(spread, False))
+        # Cells of two standard deviations: about three hold nearly all of a line.
+        width = 2.0 * float(np.sqrt(lines.var(axis=0).mean())) or 1.0
+        return replace(index, width=width, b=shifts[:, :m] * width)
+
     asked = queries.orderBy(F.xxhash64("vec", F.lit(1)), "vec").limit(SAMPLE_QUERIES).toArrow()
     if not asked.num_rows:
-        return index
+        return of(functions)
     ids, vectors = asked.column("vec").to_numpy(), _matrix(asked.column("v"), size)
     best = _scan_all(base, vectors, ids, size, k).toPandas()
     truth = base.join(bounded(best_frame(base, best)), "vec").toPandas()
-    cells = dict(zip(truth.vec, np.floor(index.places(index.lifted(_matrix(truth.v, size), False)))))
+    near = _matrix(truth.v, size)
+    for m in range(functions, 0, -1):
+        index = of(m)
+        wanted = _wanted(index, ids, vectors, best, truth.vec.to_numpy(), near)
+        if wanted is not None:
+            return replace(index, probes=wanted)
+    return None
+
+
+def _wanted(index: Index, ids: np.ndarray, vectors: np.ndarray, best: pd.DataFrame, names: np.ndarray, near: np.ndarray) -> int | None:
+    """Probes that bring the neighbours `best` of the sample queries to TARGET_RECALL; None if MAX_PROBES do not."""
+    cells = dict(zip(names.tolist(), bucket_ids(np.floor(index.places(index.lifted(near, False))))))
     probes = [
         [{bucket: i for i, bucket in enumerate(bucket_ids(probe_sequence(p, MAX_PROBES)).tolist())} for p in row]
         for row in index.places(index.lifted(vectors, True))
     ]
     own = {q: i for i, q in enumerate(ids.tolist())}
     ranks = sorted(
-        min(table.get(int(bucket_ids(cell[None])[0]), MAX_PROBES) for table, cell in zip(probes[own[q]], cells[v]))
+        min(table.get(int(bucket), MAX_PROBES) for table, bucket in zip(probes[own[q]], cells[v]))
         for q, v in zip(best["query"], best.vec)
     )
-    wanted = ranks[min(len(ranks) - 1, int(np.ceil(len(ranks) * TARGET_RECALL)) - 1)] if ranks else 0
-    return replace(index, probes=min(wanted + 1, MAX_PROBES))
+    rank = ranks[min(len(ranks) - 1, int(np.ceil(len(ranks) * TARGET_RECALL)) - 1)] if ranks else 0
+    return rank + 1 if rank < MAX_PROBES else None
 
 
 def best_frame(base: DataFrame, best: pd.DataFrame) -> DataFrame:
@@ -290,6 +307,24 @@ def _meet(stored: pa.Table, probing: pa.Table, size: int, k: int) -> pa.Table:
     return pa.Table.from_batches([_found_batch(rows)])
 
 
+def _probed(base: DataFrame, heads: DataFrame, index: Index, size: int, k: int) -> DataFrame:
+    """(query, vec, score): the k best of each query among the buckets that it probes."""
+    stored, probing = _stored(base, index, size), _probing(heads, index, size)
+    shelf = ["table", "shelf"]
+    parts = F.ceil(F.count("*") / BLOCK).cast("int")
+    sizes = bounded(stored.groupBy(*shelf).agg(parts.alias("parts")).join(probing.groupBy(*shelf).agg(parts.alias("turns")), shelf))
+    part, turn = (F.pmod(F.xxhash64("vec"), n).cast("int") for n in ("parts", "turns"))
+    left = stored.join(sizes, shelf).withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    right = probing.join(sizes, shelf).withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = [*shelf, "part", "turn"]
+    met = (
+        left.select(*group, "bucket", "vec", "v").groupBy(*group)
+        .cogroup(right.select(*group, "buckets", "vec", "v").groupBy(*group))
+        .applyInArrow(lambda a, b: _meet(a, b, size, k), _FOUND)
+    )
+    return checkpointed(_merge(met, k))
+
+
 def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", k: int = 20) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query, by inner product in doubles.
 
@@ -297,7 +332,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec:
     empty, zero or not finite, and rows without id, take no part; a row repeated with its
     id counts once. Copies of a vector are searched once. Buckets lie on shelves, which are
     split into blocks of at most BLOCK vectors and BLOCK queries, so none is too large. A query for which fewer
-    than k were found is compared with all rows, in blocks. No usable vectors: no rows.
+    than k were found is compared with all rows, in blocks; so are all queries if no index
+    reaches TARGET_RECALL on the sample. No usable vectors: no rows.
     """
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base, members = fold(vectors, vec_id, vec, k + 1)
@@ -312,22 +348,9 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vec:
     asked = checkpointed(plain.join(known, F.col("same") == F.col("s")).select("query_id", "vec"))
     heads = checkpointed(base.join(asked.select("vec").distinct(), "vec", "left_semi"))
     index = fit(base, heads, size, k)
-
-    stored, probing = _stored(base, index, size), _probing(heads, index, size)
-    shelf = ["table", "shelf"]
-    parts = F.ceil(F.count("*") / BLOCK).cast("int")
-    sizes = bounded(stored.groupBy(*shelf).agg(parts.alias("parts")).join(probing.groupBy(*shelf).agg(parts.alias("turns")), shelf))
-    part, turn = (F.pmod(F.xxhash64("vec"), n).cast("int") for n in ("parts", "turns"))
-    left = stored.join(sizes, shelf).withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    right = probing.join(sizes, shelf).withColumn("turn", turn).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    group = [*shelf, "part", "turn"]
-    met = (
-        left.select(*group, "bucket", "vec", "v").groupBy(*group)
-        .cogroup(right.select(*group, "buckets", "vec", "v").groupBy(*group))
-        .applyInArrow(lambda a, b: _meet(a, b, size, k + 1), _FOUND)
-    )
-    found = checkpointed(_merge(met, k + 1))
-    answered = _expand(found, asked, members, k)
+    if index is None:
+        return _expand(_blocks(base, heads, size, k + 1), asked, members, k)
+    answered = _expand(_probed(base, heads, index, size, k + 1), asked, members, k)
     few = answered.groupBy("query_id").agg(F.count("*").alias("n"))
     total = members.count()
     short = asked.join(few, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, max(total - 1, 0)))
@@ -353,8 +376,11 @@ def _blocks(base: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
+        rows = _matrix(left.v, size)
         for q in right.itertuples() if len(left) else ():
-            found += exact(_matrix(pd.Series(list(q.qv)), size), np.asarray(q.qs), _matrix(left.v, size), left.vec.to_numpy(), k)
+            asked, names = _matrix(pd.Series(list(q.qv)), size), np.asarray(q.qs)
+            for at in range(0, len(names), SCORED):
+                found += exact(asked[at : at + SCORED], names[at : at + SCORED], rows, left.vec.to_numpy(), k)
         frame = pd.DataFrame(found, columns=["query", "vec", "score"])
         return frame.astype({"query": "int64", "vec": "int64", "score": "float64"})
 

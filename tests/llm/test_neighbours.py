@@ -78,3 +78,17 @@ def test_nulls_ties_few_rows_and_clashing_columns(spark):
     assert lists(neighbours.search(few, few, k=20).toPandas()) == brute([good[0], *good[-2:]], {0, 100, 101})
     assert neighbours.search(frame.limit(0), frame.limit(0)).count() == 0
     assert neighbours.search(frame.filter("vec_id = 301"), frame).count() == 0
+
+
+@pytest.mark.parametrize("probes", [1, 16])
+def test_recall_holds_where_the_probes_do_not_suffice(spark, monkeypatch, probes):
+    """Vectors without structure in many more buckets than may be probed."""
+    monkeypatch.setattr(neighbours, "MAX_PROBES", probes)
+    monkeypatch.setattr(neighbours, "BUCKET", 4)
+    pick = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(pick.standard_normal((2_000, 16)))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = lists(neighbours.search(frame, frame.filter("vec_id % 20 = 0"), k=10).toPandas())
+    want = brute(rows, {i for i, _ in rows if i % 20 == 0}, 10)
+    assert set(got) == set(want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in got) >= 0.95 * 10 * len(want)
