@@ -15,7 +15,7 @@ from labspark.llm.common import components, content
 from labspark.llm.sketches import let
 from labspark.session import bounded, checkpointed
 
-#: Shorter lines are never removed or linked.
+#: Shorter lines are only linked to their exact copies.
 LEAST_WORDS = 5
 THRESHOLD = 1
 #: Lines that share a segment are compared pair by pair in buckets up to this size.
@@ -51,7 +51,7 @@ def segment_keys(line: Column, words: Column, threshold: int = THRESHOLD) -> Col
     A line of n words indexes its own segments under (n, number, text). It probes lines
     of n - d words, d up to the threshold, at the places where segment i may stand: at
     most i - 1 words off when counted from the left, and threshold + 1 - i words off when
-    counted from the right.
+    counted from the right. Lines of fewer than LEAST_WORDS words have no keys and are not probed.
     """
     parts, keys, probes = threshold + 1, [], []
 
@@ -68,7 +68,7 @@ def segment_keys(line: Column, words: Column, threshold: int = THRESHOLD) -> Col
                 own = d == 0 and shift == 0
                 cut = line if i == parts and shift == d else first(line, at + size)
                 cut = cut if i == 1 else first(cut, -size)
-                fits = (length >= LEAST_WORDS - threshold) & (at >= 0) & (at + size <= words) & (size > 0)
+                fits = (length >= LEAST_WORDS) & (at >= 0) & (at + size <= words) & (size > 0)
                 (keys if own else probes).append(F.when(fits, F.xxhash64(length, F.lit(i), cut)))
     return F.array(*keys, *probes)
 
@@ -113,12 +113,12 @@ def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, content, pos, line, words) for every line of at least LEAST_WORDS words, lower-cased, with single spaces."""
+    """(doc_id, content, pos, line, words) for every line that is not blank, lower-cased, with single spaces."""
     rows = docs.filter(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("pos", "line")
     )
     rows = rows.withColumn("line", _even(F.col("line"))).withColumn("words", _word_count(F.col("line")))
-    return rows.filter(F.col("words") >= LEAST_WORDS)
+    return rows.filter("line <> ''")
 
 
 def _hash(line: Column) -> Column:
@@ -194,7 +194,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, content, pos) of every line to remove: all of a class but its first.
 
     First is the line of smallest doc_id (null last), then text hash, then position.
-    Rows equal in id and text are one document. Equal lines are one before any search.
+    Rows equal in id and text are one document. Equal lines, however short, are one before any search.
     """
     keys = segment_keys(F.col("line"), F.col("words"), threshold)
     rows = checkpointed(
