@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 
 from labspark.llm.common import components, content
 from labspark.llm.sketches import let
-from labspark.session import bounded, checkpointed
+from labspark.session import MAX_BROADCAST_BYTES, checkpointed
 
 #: Shorter lines are only linked to their exact copies.
 LEAST_WORDS = 5
 THRESHOLD = 1
 #: Lines that share a segment are compared pair by pair in buckets up to this size.
 MAX_BUCKET = 48
-#: A broadcast of the places of candidate lines may have so many rows; the check of its bytes stays in force.
-MAX_SENT = 1_000_000
 
 
 def _codes(line: Column) -> Column:
@@ -125,14 +123,21 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def _sent(wanted: DataFrame) -> DataFrame:
+    """`wanted` broadcast if its rows and lists are within MAX_BROADCAST_BYTES by count, before any row is fetched."""
+    held = wanted.agg(F.sum(F.lit(24) + 16 * F.size("wanted")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(wanted) if held <= MAX_BROADCAST_BYTES else wanted.hint("merge")
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str, places: DataFrame) -> DataFrame:
     """(h, codes) of the lines at the places (h, first): only documents that hold one are split."""
     wanted = places.groupBy(F.col("first.doc_id").alias("d"), F.col("first.content").alias("c")).agg(
         F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("wanted")
     )
+    wanted = _sent(checkpointed(wanted))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), content(doc_id, text).alias("content"), F.col(text).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))
-    found = keyed.join(bounded(wanted, MAX_SENT), same).select(F.split("text", "\n").alias("lines"), "wanted")
+    found = keyed.join(wanted, same).select(F.split("text", "\n").alias("lines"), "wanted")
     lines = found.select("lines", F.explode("wanted").alias("w")).select("w.h", F.lower(F.get("lines", F.col("w.pos"))).alias("line"))
     # Rows repeated with their id give a line twice.
     return lines.groupBy("h").agg(F.min("line").alias("line")).select("h", _codes(_even(F.col("line"))).alias("codes"))

@@ -38,3 +38,12 @@ def test_short_lines_go_only_as_exact_copies(spark):
     got = shown(lines.without_repeats(frame))
     assert got == brute_all(docs)
     assert [r[3] for r in got] == [docs[0][1], "\nMenu\none two three four", docs[2][1], "", None]
+
+
+def test_places_are_sent_by_their_count(spark, monkeypatch):
+    """Whether the places of lines are broadcast is known before any of them is fetched."""
+    wanted = spark.range(100).selectExpr("id AS d", "id AS c", "array(named_struct('pos', 0, 'h', id)) AS wanted")
+    monkeypatch.setattr(type(wanted), "toArrow", None)
+    assert "broadcast" in lines._sent(wanted)._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr(lines, "MAX_BROADCAST_BYTES", 100 * 40 - 1)
+    assert "broadcast" not in lines._sent(wanted)._jdf.queryExecution().logical().toString()
