@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pkgutil import get_data
+
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
 THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
 COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
@@ -54,6 +56,31 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
 
+# Long texts are files, without the lines that only state copyright: scans leave those out.
+_FILES = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+
+# SPDX identifiers by licence.
+_SPDX = (
+    ("0BSD", "0BSD"),
+    ("AGPL-3.0", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    ("CC-BY-4.0", "CC-BY-4.0"),
+    ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("GPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"),
+    ("GPL-3.0", "GPL-3.0", "GPL-3.0-or-later"),
+    ("ISC", "ISC"),
+    ("LGPL-2.1", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"),
+    ("LGPL-3.0", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    ("MPL-2.0", "MPL-2.0"),
+    ("Unlicense", "Unlicense"),
+    ("Zlib", "Zlib"),
+)
+
+
+def _read(name: str) -> str:
+    return get_data(__package__, f"known_texts/{name}.txt").decode()
+
+
 KNOWN = (
     ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n{_ISC_END}"),
     ("Apache-2.0", "Apache License, Version 2.0"),
@@ -82,4 +109,6 @@ KNOWN = (
     ("MIT", f"MIT License\n{_MIT}"),
     ("MIT", f"The MIT License (MIT)\n{_MIT}"),
     ("Zlib", _ZLIB),
+    *((name, _read(name)) for name in _FILES),
+    *((name, f"SPDX-License-Identifier: {spdx}") for name, *all_spdx in _SPDX for spdx in all_spdx),
 )

@@ -55,3 +55,15 @@ def test_own_licences_nulls_ties_and_clashing_columns(spark):
             (4, None, 0, [], True)]
     assert got == sorted(want, key=str)
     assert licenses.scan(docs.limit(0), known).count() == 0
+
+
+def test_long_texts_and_spdx_lines(spark):
+    """Entire texts with their copyright lines, and identifiers of which only some were known."""
+    whole = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    texts = [f"Copyright (C) 2007 Somebody\n\n{t}" for name in whole for n, t in KNOWN if n == name and len(t) > 5_000]
+    lines = {"GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-or-later": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "Zlib": "Zlib",
+             "CC-BY-4.0": "CC-BY-4.0", "AGPL-3.0-only": "AGPL-3.0"}
+    rows = list(enumerate(texts + [f"x = 1\n# SPDX-License-Identifier: {line}" for line in lines]))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark))
+    got = {r.doc_id: r.license_id or r.notices[0] for r in found.collect()}
+    assert [got[i] for i in range(len(rows))] == whole + list(lines.values())
