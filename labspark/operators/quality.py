@@ -34,7 +34,7 @@ def _from_rows(spark, rows: list[tuple]) -> DataFrame:
 
 
 def amount_issues(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    few = df.limit(min_rows).agg(F.count("*").alias("n")).filter(F.col("n") < min_rows)
+    few = df.agg(F.count("*").alias("n")).filter(F.col("n") < min_rows)
     return few.select(
         F.lit(1).alias("stage_no"), F.lit("amount").alias("stage"), F.lit("too_few_rows").alias("code"),
         F.lit(None).cast("string").alias("column"), F.lit(None).cast("long").alias("lo"),
