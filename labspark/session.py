@@ -75,7 +75,7 @@ def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None
     At most max_rows + 1 rows reach the driver.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > MAX_BROADCAST_BYTES:
+    if head.num_rows > max_rows or head.get_total_buffer_size() > MAX_BROADCAST_BYTES:
         return None
     return df.sparkSession.createDataFrame(head, schema=df.schema)
 
