@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, lines, mixing, neighbours, packing, quality, simhash, sketches, sql, substrings
+from labspark.llm import credentials, licenses, lines, merkle, mixing, neighbours, packing, quality, simhash, sketches, sql, substrings
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -105,3 +107,23 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents", columns)
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(altered, merkle.leaf(columns, {"text": lowered})).otherwise(merkle.leaf(columns))
+    proven = merkle.manifest(docs, columns, "lang", presented=tampered)
+    shown = proven.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.joined_digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+        merkle.folded(F.col("presented"), F.col("proof")).alias("folded_root"),
+        F.size("proof").alias("n_levels"),
+    )
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
