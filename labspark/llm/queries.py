@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, lines, merkle, mixing, neighbours, packing, quality, simhash, sketches, sql, substrings
+from labspark.llm import credentials, licenses, lines, merkle, mixing, neighbours, packing, phrases, quality, simhash, sketches, sql, substrings
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -127,3 +127,17 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("proof").alias("n_levels"),
     )
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_positional_index", sql.POSITIONAL_INDEX)
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return phrases.contamination(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -49,3 +49,19 @@ found AS (SELECT doc_id, license_id, count(*) AS n FROM each JOIN known USING (d
 notes AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_notices, string_agg(license_id, ',' ORDER BY license_id) AS notices FROM found GROUP BY doc_id)
 SELECT w.doc_id, w.digest, k.license_id, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
 FROM wholes w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notes USING (doc_id)"""
+
+# Windows of every length that an item has, as texts; the words of a document that they cover, and the items.
+POSITIONAL_INDEX = r"""WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+starts AS (SELECT item_id, ws, least(10, len(ws)) AS size, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i+size-1], ' ') AS phrase FROM starts),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM docs, sizes WHERE len(ws) >= size),
+found AS (SELECT doc_id, i, p.size, item_id FROM (SELECT doc_id, size, i, array_to_string(ws[i:i+size-1], ' ') AS phrase FROM places) p
+  JOIN windows w ON w.phrase = p.phrase AND w.size = p.size),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
