@@ -31,11 +31,13 @@ def vocabulary_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(paths: tuple[str, str] | None = None) -> Callable[[str], list[int]]:
-    """Text to ids without special tokens.
+def encoder(paths: tuple[str, str] | None = None, added: bool = True) -> Callable[[str], list[int]]:
+    """Text to ids, no token being put around it.
 
     The ids are those of the tokenizer file. Its vocabulary is read as ranks by a faster
-    library (seven times here); a text on which that library gives up goes to the file's own.
+    library (seven times here); a text on which that library gives up goes to the file's own,
+    and so does one that holds the string of an added token. With `added` such a string is
+    that token, else it is text like any other.
     """
     import public_tokenizers
     import tiktoken
@@ -45,19 +47,18 @@ def encoder(paths: tuple[str, str] | None = None) -> Callable[[str], list[int]]:
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = None
+    slow = Tokenizer.from_file(own)
+    slow.encode_special_tokens = not added
+    strings = [t.content for t in slow.get_added_tokens_decoder().values()] if added else []
 
     def encode(text: str) -> list[int]:
-        nonlocal slow
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException as error:  # the library panics on some very long runs
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            if slow is None:
-                slow = Tokenizer.from_file(own)
-                slow.encode_special_tokens = True
-            return slow.encode(text, add_special_tokens=False).ids
+        if not any(s in text for s in strings):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as error:  # the library panics on some very long runs
+                if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 

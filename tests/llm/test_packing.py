@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,6 @@ SF = "/root/testdata/sf0.001"
 
 def reference_ids(texts):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return [e.ids + [1] for e in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -76,3 +76,11 @@ def test_nulls_ties_empties_and_clashing_columns(spark):
     huge = spark.createDataFrame([(None, "a"), (2**62 + 1, "b")], "doc_id long, text string")
     assert {r.doc_id for r in packing.pack(huge).collect()} == {None, 2**62 + 1}
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_strings_of_added_tokens_are_their_ids(spark):
+    docs = pd.DataFrame({"doc_id": [1, 2], "text": ["a <|endoftext|> b", "plain"]})
+    got = packing.pack(spark.createDataFrame(docs)).toPandas()
+    check(docs, got)
+    ids = np.array([64, 220, 50256, 275, 1], "<u4")
+    assert got[got.doc_id == 1].ids_crc32.tolist() == [zlib.crc32(ids)]
