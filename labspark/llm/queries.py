@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import credentials, licenses, lines, merkle, mixing, neighbours, packing, phrases, quality, simhash, sketches, sql, substrings
+from labspark.llm import alignment, credentials, licenses, lines, merkle, mixing, neighbours, packing, phrases, quality, simhash, sketches, sql, substrings
 from labspark.llm.common import table
 from labspark.llm.registered import QUERIES, SQL, query
 
@@ -141,3 +141,9 @@ def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return alignment.align(docs, digest=True).withColumnRenamed("groups", "groups_sha256")
