@@ -23,16 +23,20 @@ def distance(a, b):
 
 
 def brute_dedup(docs, threshold=1):
-    """docs: (doc_id, text); every id once. Returns (doc_id, lines, removed, kept text)."""
+    """docs: (doc_id, text); every id once. Returns (doc_id, lines, removed, kept text).
+
+    Lines that are not blank count whatever their length; edits link those of five words and more.
+    """
     seen = {}
     for key, text in docs:
         for pos, line in enumerate((text or "").lower().split("\n")):
-            line = line.strip(" \t\r")
-            if len(SPLIT.split(line)) >= 5:
+            line = SPLIT.sub(" ", line.strip(" \t\r"))
+            if line:
                 seen.setdefault(line, []).append((key, pos))
     names = list(seen)
-    words = [SPLIT.split(n) for n in names]
-    near = [(i, j) for i in range(len(names)) for j in range(i) if abs(len(words[i]) - len(words[j])) <= threshold
+    words = [n.split(" ") for n in names]
+    long = [i for i, w in enumerate(words) if len(w) >= 5]
+    near = [(i, j) for n, i in enumerate(long) for j in long[:n] if abs(len(words[i]) - len(words[j])) <= threshold
             and len(set(words[i]) ^ set(words[j])) <= 2 * threshold and distance(words[i], words[j]) <= threshold]
     root, first, gone = brute.roots(len(names), near), {}, set()
     for i, n in enumerate(names):
@@ -100,7 +104,7 @@ def test_nulls_ties_empties_and_clashing_columns(spark):
     rows = [(None, f"{same}\nshort line", 1), (1, None, 2), (2, "", 3), (3, f"{same}\n\n{same.upper()} \nshort line", 4), (3, f"{same}\n\n{same.upper()} \nshort line", 4), (4, same.replace("two", "2"), 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, line int")
     got = sorted((tuple(r) for r in lines.without_repeats(docs).collect()), key=str)
-    assert got == sorted([(None, "short line", 1, 2, 1), (1, None, 2, 0, 0), (2, "", 3, 1, 0), (3, f"{same}\n\nshort line", 4, 4, 1),
+    assert got == sorted([(None, "", 1, 2, 2), (1, None, 2, 0, 0), (2, "", 3, 1, 0), (3, f"{same}\n\nshort line", 4, 4, 1),
                           (3, f"{same}\n\nshort line", 4, 4, 1), (4, "", 5, 1, 1)], key=str)
     assert lines.without_repeats(docs.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 200_000)], "doc_id long, text string")

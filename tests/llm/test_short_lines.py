@@ -1,34 +1,5 @@
-import hashlib
-
 from labspark.llm import lines
-from labspark.llm.queries import QUERIES
-from tests.llm import brute
-from tests.llm.test_lines import SF, SPLIT, brute_dedup, shown
-
-
-def brute_all(docs):
-    """brute_dedup, then all but the first of equal lines of one to four words."""
-    seen, out = set(), []
-    for key, n, removed, text in brute_dedup(docs):
-        kept = []
-        for line in (text or "").split("\n"):
-            plain = line.lower().strip(" \t\r")
-            plain = " ".join(SPLIT.split(plain))
-            short = plain != "" and len(plain.split(" ")) < 5
-            if short and plain in seen:
-                removed += 1
-            else:
-                kept.append(line)
-            if short:
-                seen.add(plain)
-        out.append((key, n, removed, None if text is None else "\n".join(kept)))
-    return out
-
-
-def test_query_removes_short_copies(spark):
-    docs = brute.documents(SF)
-    want = [(k, n, r, hashlib.sha256(t.encode()).hexdigest()) for k, n, r, t in brute_all(list(zip(docs.doc_id.tolist(), docs.text)))]
-    assert sorted(map(tuple, QUERIES["op2_line_dedup"](spark, SF).collect())) == want
+from tests.llm.test_lines import brute_dedup, shown
 
 
 def test_short_lines_go_only_as_exact_copies(spark):
@@ -36,7 +7,7 @@ def test_short_lines_go_only_as_exact_copies(spark):
             (3, "版权所有。保留一切权利。\nAll rights kept."), (4, "版权所有。保留一切权利。\n\nhome\none two three four"), (5, None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = shown(lines.without_repeats(frame))
-    assert got == brute_all(docs)
+    assert got == brute_dedup(docs)
     assert [r[3] for r in got] == [docs[0][1], "\nMenu\none two three four", docs[2][1], "", None]
 
 
