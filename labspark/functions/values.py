@@ -20,12 +20,14 @@ SUB_TYPES = (
 )
 PANELS = {1: "GN", 2: "GP"}
 
-# Month first; the day-first forms only match where the first number is no month.
-DATE_FORMATS = (
-    "yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy", "d MMM yyyy",
-    "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy",
+# Month names; a text may have the first three letters instead.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
 )
-_TIME_OF_DAY = r"(?:(?:[Tt]|\s+)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d{1,9})?)?(?:[Zz]|[+-]\d\d:?\d\d)?)?$"
+_NAMES = "(?i:" + "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS) + ")"
+_SHORT = "(?i:" + "|".join(m[:3] for m in MONTHS) + ")"
+_TIME_OF_DAY = r"(?:[Tt]|\s+)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d{1,9})?)?(?:[Zz]|[+-]\d\d:?\d\d)?$"
+_PLAIN_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
 DISPLAY_FORMAT = "dd-MMM-yyyy HH:mm:ss"
 
 
@@ -45,10 +47,44 @@ def name_to_symbol(col: Column) -> Column:
     return recode(col, {name: symbol for symbol, name in SYMBOL_NAMES.items()})
 
 
-def parse_date(col: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Day of a date text in one of the accepted formats, with or without a time of day, else null."""
-    day = F.regexp_extract(strip(col), r"^(.+?)" + _TIME_OF_DAY, 1)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(day, F.lit(f))) for f in formats])
+def _day(*parts: Column) -> Column:
+    return F.concat_ws("-", *parts).try_cast("date")
+
+
+def _month_number(name: Column) -> Column:
+    """1 to 12 from the first three letters of a month's name."""
+    at = F.call_function("locate", F.lower(F.substring(name, 1, 3)), F.lit("".join(m[:3] for m in MONTHS)))
+    return ((at + 2) / 3).cast("int").cast("string")
+
+
+def _written_day(text: Column) -> Column:
+    """Day of a text without time of day; one pattern decides how it is read. Month first, day first where the first number is no month."""
+    numbers, named, month_first = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$", rf"^(\d{{1,2}})(?: ({_NAMES}) |-({_SHORT})-)(\d{{4}})$", rf"^({_NAMES}) (\d{{1,2}}),? (\d{{4}})$"
+
+    def part(pattern: str, group: int) -> Column:
+        return F.regexp_extract(text, pattern, group)
+
+    a, b, year = part(numbers, 1), part(numbers, 3), part(numbers, 4)
+    return (
+        F.when(text.rlike(_PLAIN_DAY), text.try_cast("date"))
+        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.translate(text, "/", "-").try_cast("date"))
+        .when(text.rlike(r"^\d{8}$"), _day(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
+        .when(text.rlike(numbers), F.coalesce(_day(year, a, b), _day(year, b, a)))
+        .when(text.rlike(month_first), _day(part(month_first, 3), _month_number(part(month_first, 1)), part(month_first, 2)))
+        .when(text.rlike(named), _day(part(named, 4), _month_number(F.concat(part(named, 2), part(named, 3))), part(named, 1)))
+    )
+
+
+def parse_date(col: Column) -> Column:
+    """Day of a date text in one of the accepted forms, with or without a time of day, else null.
+
+    Accepted are year-month-day with hyphens, slashes or nothing between, month/day/year and
+    day/month/year with slashes or hyphens, and days with a month's name before or after.
+    """
+    text = strip(col)
+    return F.when(text.rlike(_PLAIN_DAY), text.try_cast("date")).otherwise(
+        F.get(F.transform(F.array(F.regexp_replace(text, _TIME_OF_DAY, "")), _written_day), F.lit(0))
+    )
 
 
 def month_key(col: Column) -> Column:
