@@ -95,6 +95,55 @@ def line_numbers(spark, folder):
     return number_rows(orders, [F.col("o_orderdate"), F.col("o_orderkey")], "line_no", 2).select("o_orderkey", "line_no")
 
 
+def _as_csv(spark, rows, name):
+    """Rows written as CSV with a header, for the queries that read it back."""
+    path = scratch_path(spark, name)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+# Types that the files must get back, by column; text is what the cells of all others are.
+_ITEM_TYPES = {"l_orderkey": "bigint", "l_linenumber": "bigint", "l_extendedprice": "double", "l_discount": "double", "l_shipdate": "date",
+               "l_returnflag": "string", "code": "string", "open": "boolean", "empty": "string", "exact": "decimal(22,2)", "at": "timestamp"}
+
+
+@query(
+    "typed_csv_lineitem",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_returnflag,
+      lpad(CAST(l_linenumber AS VARCHAR), 3, '0') AS code, l_linestatus = 'O' AS open, CAST(NULL AS VARCHAR) AS empty,
+      '1234567890123456' || lpad(CAST(l_linenumber AS VARCHAR), 4, '5') || '.25' AS exact, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS at,
+      '""" + ", ".join(f"{c} {t}" for c, t in sorted(_ITEM_TYPES.items())) + """' AS types FROM lineitem""",
+)
+def typed_csv_lineitem(spark, folder):
+    """Line items through CSV: numbers, days and flags get their types back; codes keep their zeros, long numbers their digits."""
+    items = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"), "l_returnflag",
+        F.lpad(F.col("l_linenumber").cast("string"), 3, "0").alias("code"), (F.col("l_linestatus") == "O").alias("open"), F.lit("").alias("empty"),
+        F.concat(F.lit("1234567890123456"), F.lpad(F.col("l_linenumber").cast("string"), 4, "5"), F.lit(".25")).alias("exact"),
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("at"),
+    )
+    read = read_csv(spark, _as_csv(spark, items, "items"), typed=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(read.dtypes))
+    shown = {"l_shipdate": F.col("l_shipdate").cast("string"), "exact": F.col("exact").cast("string"), "at": F.col("at").cast("string"), "types": F.lit(types)}
+    return read.withColumns(shown)
+
+
+@query(
+    "typed_csv_orders",
+    """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice, year(o_orderdate) AS o_year, o_orderpriority,
+      CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS mixed FROM orders""",
+)
+def typed_csv_orders(spark, folder):
+    """Orders through CSV; customers are asked for as texts, and a column of numbers and words is text."""
+    customer = F.col("o_custkey").cast("string")
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
+        F.when(F.col("o_custkey") % 2 == 0, customer).otherwise(F.col("o_orderpriority")).alias("mixed"),
+    )
+    read = read_csv(spark, _as_csv(spark, rows, "orders"), typed=True, keep_text=["o_custkey"])
+    return read.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").cast("long").alias("o_year"), "o_orderpriority", "mixed")
+
+
 @query(
     "assign_surrogate_keys",
     """WITH names AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT n_name FROM nation))

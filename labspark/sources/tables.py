@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from labspark.functions.text import missing_to_null
 from labspark.operators.numbering import number_rows
 from labspark.operators.reshape import quoted
+from labspark.sources.inference import inferred
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,15 +28,20 @@ def read_csv(
     line_no: str | None = None,
     malformed: str | None = None,
     multi_line: bool = False,
+    typed: bool = False,
+    keep_text: list[str] | None = None,
 ) -> DataFrame:
     """CSV with header as texts; the usual tokens for missing values become null.
 
+    With `typed` every column has the least type that holds all its cells, found in one
+    scan (`inference`); columns of `keep_text` stay texts.
+
     Quotes inside quoted cells are doubled. A record with more or fewer cells than the
     header stops the read, or, if `malformed` names a column, is kept with its raw text
     there (null for all good records). `multi_line` allows line breaks inside quotes, at
     the price that a file is read by one task; numbers are then those of records.
 
-    Texts keep leading zeros; typed columns are parsed by the steps that need them.
+    Texts keep leading zeros, typed or not; dates in local forms are parsed by the steps that need them.
     Without a column list only the header line is read to name the columns. `line_no` adds
     the line of each row, 2 for the first one below the header; with several files the
     count runs on in path order.
@@ -52,6 +58,10 @@ def read_csv(
     df = reader.schema(schema).option("enforceSchema", malformed is not None).csv(path)
     cells = [missing_to_null(F.col(quoted(c))).alias(c) for c in columns]
     cells += [F.col(quoted(malformed))] if malformed else []
+    if typed:
+        plain = df.select(*cells)
+        types = dict(inferred(plain, [*(keep_text or []), *([malformed] if malformed else [])]).dtypes)
+        cells = [c.cast(types[n]).alias(n) if types[n] != "string" else c for c, n in zip(cells, plain.columns)]
     if line_no is None:
         return df.select(*cells)
     place = ["_file", "_start", "_row"]
