@@ -4,14 +4,15 @@ Not every suffix is kept. A window of 20 words has a sampled suffix: the place i
 next five words hash lowest, the anchor. Equal windows choose the same anchor, so equal
 windows meet under the anchor's five words, the prefix that splits all suffixes into
 groups. Prefixes that occur once end there. Groups of suffixes that stay small form a
-subtree each, whose nodes of depth 20 are the repeated windows; groups that stay large
-are split further, by a prefix of all 20 words.
+subtree each, whose nodes of depth 20 are the repeated windows. Groups that stay large
+are split by longer prefixes, of 13, 17, 19 and at last all 20 words, each only where the
+one before left a large group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import groupby
 
 import numpy as np
@@ -25,7 +26,7 @@ from labspark.session import checkpointed
 
 WINDOW = 20
 PREFIX = 5
-#: A prefix with more distinct surroundings than this is split by the whole window instead of a subtree in memory.
+#: A prefix with more distinct surroundings than this is split by a longer one instead of a subtree in memory.
 MAX_GROUP = 512
 _OFFSETS = WINDOW - PREFIX + 1
 
@@ -53,6 +54,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word, and one per PREFIX words in a row."""
+    n = len(words)
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, n)
+    grams = np.zeros(n - PREFIX + 1, _U)
+    for i in range(PREFIX):
+        grams = grams * _U(_BASE) + codes[i : n - PREFIX + 1 + i]
+    return codes, _mixed(grams)
+
+
+def _anchor(words: list[bytes]) -> int:
+    """Where the anchor of a text's first window lies."""
+    return int(_grams(words[:WINDOW])[1].argmin())
+
+
 def anchors(words: list[bytes]) -> tuple[np.ndarray, ...]:
     """(key, surroundings, first window, number of windows) of each anchor of a text.
 
@@ -63,11 +79,7 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, ...]:
     if n < WINDOW:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, n)
-    grams = np.zeros(n - PREFIX + 1, _U)
-    for i in range(PREFIX):
-        grams = grams * _U(_BASE) + codes[i : n - PREFIX + 1 + i]
-    grams = _mixed(grams)
+    codes, grams = _grams(words)
     starts = np.arange(n - WINDOW + 1)
     owner = starts + sliding_window_view(grams, _OFFSETS).argmin(axis=1)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -196,23 +208,68 @@ def _subtrees(rows: DataFrame, kind: str) -> DataFrame:
     return sorted_rows.mapInArrow(run, f"doc_id {kind}, twin int, span long, mask int")
 
 
-def _whole_windows(rows: DataFrame, kind: str) -> DataFrame:
-    """(path, doc_id, twin, span, j): every window of the rows, by a digest of its words."""
+def _refined(rows: DataFrame, kind: str, width: int) -> DataFrame:
+    """(key, around, doc_id, twin, span, words): rows (doc_id, twin, span, words) under longer prefixes.
+
+    The windows of a row are parted by where the anchor lies in them, in turns of `width`
+    places. All windows of a part share WINDOW - width + 1 words around the anchor; they are
+    the part's key. `around` stands for all the words that the part covers.
+    """
+
+    def parts(words: list[bytes], count: int) -> Iterator[tuple[bytes, bytes, int, int]]:
+        at = _anchor(words)
+        for turn in range((at - count + 1) // width, at // width + 1):
+            low, high = turn * width, turn * width + width - 1
+            first, last = max(0, at - high), min(count - 1, at - low)
+            core = b" ".join(words[at - low : at - high + WINDOW])
+            yield b"%d %d " % (width, turn) + core, b" ".join(words[first : last + WINDOW]), first, last - first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, paths, js = [], [], []
-            spans = batch.column(2).to_pylist()
-            for row, words in enumerate(batch.column(3).to_pylist()):
-                for j, path in _windows(words, (spans[row] & 15) + 1):
+            at, keys, around, spans, cuts = [], [], [], [], []
+            for row, (span, joined) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                for core, region, first, more in parts(joined.split(b" "), (span & 15) + 1):
                     at.append(row)
-                    paths.append(xxhash.xxh3_128_digest(path))
-                    js.append(j)
+                    keys.append(xxhash.xxh64_intdigest(core) - (1 << 63))
+                    around.append(xxhash.xxh3_128_digest(region))
+                    spans.append(((span >> 4) + first) * 16 + more)
+                    cuts.append(region)
             rows_at = pa.array(at, pa.int64())
-            columns = [pa.array(paths, pa.binary()), *[batch.column(c).take(rows_at) for c in range(3)], pa.array(js, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "doc_id", "twin", "span", "j"])
+            columns = [pa.array(keys, pa.int64()), pa.array(around, pa.binary()), batch.column(0).take(rows_at), batch.column(1).take(rows_at), pa.array(spans, pa.int64()), pa.array(cuts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "around", "doc_id", "twin", "span", "words"])
 
-    return rows.select("doc_id", "twin", "span", "words").mapInArrow(run, f"path binary, doc_id {kind}, twin int, span long, j int")
+    return rows.select("doc_id", "twin", "span", "words").mapInArrow(run, f"key long, around binary, doc_id {kind}, twin int, span long, words binary")
+
+
+def _copies(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, twin, span, mask): all windows of the rows that equal an earlier row of their class."""
+    repeated = classes.filter("n > 1").select("key", "around", "first")
+    return (
+        rows.join(repeated, ["key", "around"])
+        .filter(_place(F.col("span")) != F.col("first"))
+        .select("doc_id", "twin", "span", F.expr("shiftleft(2, cast(span & 15 as int)) - 1").cast("int").alias("mask"))
+    )
+
+
+def _split_further(rows: DataFrame, kind: str, max_group: int) -> list[DataFrame]:
+    """Marks of the windows of large groups: prefixes grow from level to level where a group is still large.
+
+    At each level rows that cover the same words are folded to the earliest. At the last
+    one the prefix is the whole window, which leaves one row per group.
+    """
+    marks, width = [], _OFFSETS // 2
+    while width and not rows.isEmpty():
+        split = checkpointed(_refined(rows, kind, width))
+        classes = checkpointed(
+            split.groupBy("key", "around").agg(F.min(_place(F.col("span"))).alias("first"), F.count("*").alias("n"), F.first("words").alias("words"))
+        )
+        sizes = classes.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        told = checkpointed(
+            classes.join(sizes.hint("merge"), "key").select("key", "first.doc_id", "first.twin", F.col("first.start").alias("span"), "words", (F.col("size") > max_group).alias("big"))
+        )
+        marks += [_copies(split, classes), _subtrees(told.filter("not big").drop("big"), kind)]
+        rows, width = told.filter("big"), width // 2
+    return marks
 
 
 def _place(start: Column) -> Column:
@@ -241,22 +298,7 @@ def repeats(rows: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     texts = rows.join(wanted, same).select("doc_id", "twin", "text", "found")
     cuts = checkpointed(_cut_out(texts, kind))
     small = _subtrees(cuts.filter("not big").select("key", "doc_id", "twin", "span", "words"), kind)
-
-    large = _whole_windows(cuts.filter("big"), kind).withColumn("place", _place(F.shiftright("span", 4) + F.col("j")))
-    earliest = large.groupBy("path").agg(F.min("place").alias("earliest"))
-    split = (
-        large.join(earliest, "path")
-        .filter("place <> earliest")
-        .groupBy("doc_id", "twin", "span")
-        .agg(F.bit_or(F.expr("shiftleft(1, j)")).cast("int").alias("mask"))
-    )
-    repeated = classes.filter("n > 1").select("key", "around", "first")
-    copies = (
-        met.join(repeated, ["key", "around"])
-        .filter(_place(F.col("span")) != F.col("first"))
-        .select("doc_id", "twin", "span", F.expr("shiftleft(2, cast(span & 15 as int)) - 1").cast("int").alias("mask"))
-    )
-    return copies.unionByName(small).unionByName(split)
+    return reduce(DataFrame.unionByName, [_copies(met, classes), small, *_split_further(cuts.filter("big"), kind, max_group)])
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
