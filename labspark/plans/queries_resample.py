@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labspark.operators import resample as rs
 from labspark.operators.metrics import binary_metrics
 from labspark.operators.neighbors import nearest
+from labspark.operators.sets import nearest_sets
 from labspark.plans.registered import query
 from labspark.session import checkpointed, distinct_values, scratch_path
 from labspark.sources.tables import table
@@ -50,6 +51,28 @@ def knn_join(spark, folder):
     return nearest(rows, rows, 5, "id", "vec").select("id", "neighbor_id", "rank", F.round("d2", 6).alias("d2"))
 
 
+# Parts as sets of a type, a brand and words of the name: every pair with the number of tokens that only one of them has.
+_SET_PAIRS = """s AS (SELECT p_partkey AS id, list_distinct(['t_' || p_type, 'b_' || p_brand] || list_transform(string_split(p_name, ' '), lambda w: 'n_' || w)) AS tokens FROM part),
+  pairs AS (SELECT a.id, b.id AS nid, len(a.tokens) + len(b.tokens) - 2 * len(list_intersect(a.tokens, b.tokens)) AS d2 FROM s a JOIN s b ON a.id <> b.id),
+  near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nid) AS r FROM pairs)"""
+
+
+def part_sets(spark, folder):
+    words = F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("n_"), w))
+    fixed = F.array(F.concat(F.lit("t_"), "p_type"), F.concat(F.lit("b_"), "p_brand"))
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.concat(fixed, words).alias("tokens"))
+
+
+@query(
+    "knn_sets",
+    f"WITH {_SET_PAIRS} SELECT id, nid AS neighbor_id, CAST(r AS INTEGER) AS rank, CAST(d2 AS DOUBLE) AS d2 FROM near WHERE r <= 5",
+)
+def knn_sets(spark, folder):
+    """Nearest parts by their one-hot tokens, through the inverted index."""
+    rows = part_sets(spark, folder)
+    return nearest_sets(rows, rows, 5, "id", "tokens").select("id", "neighbor_id", "rank", "d2")
+
+
 def _synthetic_sql(plan: str, near: str) -> str:
     """CTEs from a plan (id, label, vec, turns) and ranked neighbours (id, nid, r) to synthetic rows."""
     return f"""turns AS (SELECT id, label, vec, turn, md5('0|' || id || '|' || turn) AS t

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 50_000
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+MAX_BROADCAST_BYTES = 8 * 1024 * 1024
+#: Characters of a plan's text that the driver keeps for each of its last executions.
+MAX_PLAN_TEXT = 20_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -19,6 +21,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # Split hot join partitions even where that costs one more shuffle.
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # The driver keeps the plans of a thousand executions as text; those of long plans would fill its memory.
+    spark.conf.set("spark.sql.maxPlanStringLength", str(MAX_PLAN_TEXT))
     return spark
 
 
@@ -70,7 +74,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """`df` as a local table if it has at most `max_rows` rows and 32 MB, else None.
+    """`df` as a local table if it has at most `max_rows` rows and 8 MB, else None.
 
     At most max_rows + 1 rows reach the driver.
     """
