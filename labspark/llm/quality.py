@@ -100,31 +100,47 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     labelled = rows.join(bounded(sample, most), (F.col("d") == F.col("_k")) & (F.col("h") == F.col("_h"))).select("h", "y", "t")
     found = _counted(labelled).groupBy("h", "y").agg(F.first("counts").alias("counts")).orderBy("h", "y").limit(most).toArrow()
     y = found.column("y").to_numpy()
-    raw = np.frombuffer(b"".join(found.column("counts").to_pylist()), "<f4").reshape(-1, TERMS)
-    # Few of the terms occur at all; only those are kept in doubles, as the driver has little memory.
-    present = np.count_nonzero(raw, axis=0)
+    # Few of the terms occur in a text, and few of all terms occur at all: the driver holds one matrix of those that do.
+    rows = [np.frombuffer(c.as_buffer(), _COUNT) for c in found.column("counts")]
+    present = np.bincount(np.concatenate([np.zeros(0, "<u2"), *[r["term"] for r in rows]]), minlength=TERMS)
     known = np.flatnonzero(present)
-    counts = raw[:, known].astype(float)
-    del raw, found
+    place = np.zeros(TERMS, np.int64)
+    place[known] = np.arange(len(known))
+    counts = np.zeros((len(rows), len(known)))
+    for row, held in zip(counts, rows):
+        row[place[held["term"]]] = held["n"]
+    del rows, found
     weights = np.log((1 + len(counts)) / (1 + present[known])) + 0.2
     weighted = np.log1p(counts) * weights
     norms = np.linalg.norm(weighted, axis=1, keepdims=True)
     weighted /= np.where(norms > 0, norms, 1)
     # The leading singular vectors, from the small matrix of products between terms.
     _, axes = np.linalg.eigh(weighted.T @ weighted)
+    del weighted
     projection = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS])
     every = np.arange(len(known))
     vectors = Votes(every, weights, projection, np.zeros((0, 0)), y, NEIGHBOURS).latent(counts)
     return Votes(known, weights, projection, vectors, y, NEIGHBOURS)
 
 
+#: A term that occurs in a text, and how often.
+_COUNT = np.dtype([("term", "<u2"), ("n", "<f4")])
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    out = np.empty(np.count_nonzero(counts), _COUNT)
+    out["term"] = np.flatnonzero(counts)
+    out["n"] = counts[out["term"]]
+    return out.tobytes()
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """(h, y, t) to (h, y, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            counts = pa.array([terms(t).astype("<f4").tobytes() for t in texts], pa.binary())
+            counts = pa.array([_sparse(terms(t)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["h", "y", "counts"])
 
     return rows.mapInArrow(run, "h long, y double, counts binary")
