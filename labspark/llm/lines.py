@@ -232,7 +232,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.withColumn("_llm_content", content(doc_id, text))
     same = F.col(doc_id).eqNullSafe(F.col("_llm_id")) & (F.col("_llm_content") == F.col("_llm_of"))
     split = F.split(F.col(text), "\n")
-    kept = let(F.col("_llm_gone"), lambda g: F.array_join(F.filter(split, lambda _, i: ~F.array_contains(g, i)), "\n"))
+    stays = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_llm_gone"))  # noqa: E731  one pass, however many lines go
+    kept = let(split, lambda parts: F.array_join(F.transform(stays(parts), lambda i: F.get(parts, i)), "\n"))
     out = keyed.join(lists, same, "left")
     removed = F.coalesce(F.size("_llm_gone"), F.lit(0)).cast("long")
     new = F.when(F.col("_llm_gone").isNull(), F.col(text)).otherwise(kept)
