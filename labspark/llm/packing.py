@@ -147,8 +147,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     """Every id of every document in one piece of one sequence of at most `capacity` ids.
 
     Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). Full pieces
-    fill a sequence each. Rests meet in groups of a fixed size, dealt by hash of document
-    and place, and are balanced by cost inside each group, so a group's work is bounded
+    fill a sequence each. Rests meet in groups of a fixed size, dealt by hash of document,
+    place and row, so that repeated or missing ids spread as well, and are balanced by cost inside each group, so a group's work is bounded
     and all but the few tokens of its last sequence are filled. A null text is empty and
     has END_ID alone; repeated rows are packed as often as they occur; an empty table
     gives no rows.
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     weight = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     groups = max(1, weight // GROUP_BYTES)
     dealt = pieces(rows, "doc_id", "text", capacity, paths).withColumn(
-        "_group", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)).cast("long")
+        "_group", F.pmod(F.xxhash64("doc_id", "start", "length", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     )
     # Ids pass through pandas as text: beside a null a large integer would lose digits there.
     kind = rows.schema["doc_id"].dataType.simpleString()
