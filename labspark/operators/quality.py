@@ -12,6 +12,7 @@ from labspark.functions.values import parse_date
 from labspark.operators.numbering import line_ranges
 from labspark.operators.reshape import ANSWER_PREFIX, RESULT_PREFIX, columns_with_prefix, quoted
 from labspark.session import checkpointed
+from labspark.sources.stored import IdentityIndex
 
 # Columns and limits of an upload file.
 MIN_ROWS = 300
@@ -152,13 +153,18 @@ def duplicates_of_stored(df: DataFrame, stored: DataFrame, keys: list[str]) -> D
     return semi_on(df, stored.select(*keys).distinct(), keys)
 
 
-def duplicate_faults(df: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Lines that repeat another line of the batch or a stored report (both brought to one form)."""
+def duplicate_faults(df: DataFrame, stored: DataFrame | IdentityIndex | None) -> DataFrame:
+    """Lines that repeat another line of the batch or a stored report (both brought to one form).
+
+    With an index of stored identities only its parts that the lines fall into are read.
+    """
     tag = lambda rows, code: rows.select(
         "line_no", F.lit(code).alias("code"), F.lit(None).cast("string").alias("column")
     )
     lines = tag(duplicates_in_batch(df, list(IDENTITY)), "duplicate_in_batch")
-    if stored is not None:
+    if isinstance(stored, IdentityIndex):
+        lines = lines.unionByName(tag(stored.repeated(df.withColumns(identity(df))), "duplicate_of_stored"))
+    elif stored is not None:
         keys = list(identity(df))
         old = stored.select(*[c.alias(n) for n, c in identity(stored, raw=False).items()])
         lines = lines.unionByName(
@@ -168,7 +174,7 @@ def duplicate_faults(df: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 
 def quality_report(
-    df: DataFrame, panel: str, stored: DataFrame | None = None, min_rows: int = MIN_ROWS
+    df: DataFrame, panel: str, stored: DataFrame | IdentityIndex | None = None, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Issues of the first stage that has any: amount, column, value, duplicate.
 

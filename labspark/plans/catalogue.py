@@ -2,11 +2,13 @@
 
 from labspark.plans import (
     queries_models,
+    queries_predict,
     queries_quality,
     queries_reports,
     queries_resample,
     queries_reshape,
     queries_runs,
+    queries_stored,
     queries_tables,
     queries_text,
 )
@@ -16,11 +18,13 @@ __all__ = [
     "QUERIES",
     "SQL",
     "queries_models",
+    "queries_predict",
     "queries_quality",
     "queries_reports",
     "queries_resample",
     "queries_reshape",
     "queries_runs",
+    "queries_stored",
     "queries_tables",
     "queries_text",
 ]

@@ -11,10 +11,11 @@ from labspark.functions.text import clean_specimen, first_token, lower_strip
 from labspark.functions.values import PANELS, parse_date
 from labspark.operators.dims import assign_keys, get_or_create, lookup_or_other, with_ids
 from labspark.operators.numbering import number_rows
-from labspark.operators.quality import new_value_report, quality_report
+from labspark.operators.quality import identity, new_value_report, quality_report
 from labspark.operators.reshape import infer_symbol_type, melt_flags, melt_symbols, with_sub_type
 from labspark.operators.split import split_by_case, split_by_label
 from labspark.session import bounded, checkpointed, distinct_values
+from labspark.sources.stored import IdentityIndex
 
 
 @dataclass
@@ -146,14 +147,16 @@ def process_upload(
     stored: DataFrame | None = None,
     last_report_id: int = 0,
     labels: list[int] | None = None,
+    index: IdentityIndex | None = None,
 ) -> tuple[str, DataFrame, Batch | None]:
     """Check an upload, then load and store it: facts, new members, file row, log row and result rows.
 
     A second run of the same file_id replaces what the first one stored. Returns 'fail' with the issues, or 'success' with the new-value warnings and the batch.
     `stored` is the wide report of the active batches; without it nothing counts as stored.
+    An `index` of stored identities takes its place in the search for duplicates, and takes the batch over.
     """
     upload = checkpointed(upload)
-    issues = checkpointed(quality_report(upload, PANELS[panel], stored))
+    issues = checkpointed(quality_report(upload, PANELS[panel], stored if index is None else index))
     log = "file_id long, vitek_id int, status string, amount_row long"
     if not issues.isEmpty():
         store(upload.sparkSession.createDataFrame([(file_id, panel, "fail", None)], log), folder, "upload_log", file_id)
@@ -162,6 +165,8 @@ def process_upload(
     warnings = None if stored is None else checkpointed(new_value_report(upload, stored))
     batch = ingest(upload, dims, panel, file_id, last_report_id, labels)
     append_batch(batch, folder)
+    if index is not None:
+        index.add(upload.select(*[c.alias(n) for n, c in identity(upload).items()]), file_id)
     done = upload.sparkSession.createDataFrame([(file_id, panel, "success", upload.count())], log)
     store(done.select("file_id", "vitek_id", "amount_row", F.lit(True).alias("active")), folder, "file", file_id)
     if warnings is not None:

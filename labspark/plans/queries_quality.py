@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from labspark.operators import quality
 from labspark.operators.numbering import line_ranges
 from labspark.plans.registered import query
+from labspark.session import scratch_path
+from labspark.sources.stored import IdentityIndex
 from labspark.sources.tables import table
 
 _FAULTY = """upload AS (
@@ -128,16 +130,17 @@ def dups_in_batch(spark, folder):
     "dups_vs_stored",
     """WITH keyed AS (SELECT o_orderkey, o_custkey, lower(o_orderpriority) AS sample, o_orderstatus,
                              year(o_orderdate) AS batch_id FROM orders)
-    SELECT o_orderkey, o_custkey, sample, o_orderstatus FROM keyed WHERE batch_id = 2001
-      AND (o_custkey, sample, o_orderstatus) IN (SELECT (o_custkey, sample, o_orderstatus) FROM keyed WHERE batch_id < 2001)""",
+    SELECT o_orderkey, o_custkey, sample, o_orderstatus FROM keyed WHERE batch_id = (SELECT max(batch_id) FROM keyed)
+      AND (o_custkey, sample, o_orderstatus) IN (SELECT (o_custkey, sample, o_orderstatus) FROM keyed WHERE batch_id < (SELECT max(batch_id) FROM keyed))""",
 )
 def dups_vs_stored(spark, folder):
-    """Reports of the newest batch that repeat a report of an earlier batch."""
+    """Reports of the newest batch that repeat a report of an earlier batch, by the index of stored identities."""
     keyed = table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", F.lower("o_orderpriority").alias("sample"), "o_orderstatus",
         F.year("o_orderdate").alias("batch_id"),
     )
     keys = ["o_custkey", "sample", "o_orderstatus"]
-    return quality.duplicates_of_stored(
-        keyed.filter("batch_id = 2001").drop("batch_id"), keyed.filter("batch_id < 2001"), keys
-    )
+    newest = keyed.agg(F.max("batch_id").alias("b")).first()["b"]
+    index = IdentityIndex(scratch_path(spark, "identities"), keys, keyed.select(*keys).schema, parts=32)
+    index.add(keyed.filter(F.col("batch_id") < newest), 0)
+    return index.repeated(keyed.filter(F.col("batch_id") == newest).drop("batch_id"))

@@ -12,6 +12,7 @@ from labspark.plans import roles, train
 from labspark.plans.queries_quality import faulty_upload
 from labspark.plans.queries_reshape import _cleaned, quota_sql
 from labspark.plans.queries_reports import _RUNS, _runs
+from labspark.plans.queries_stored import stored_identities
 from labspark.plans.registered import ANSWERS, CASES, LINES, REPORTS, SYMBOLS, query
 from labspark.sources.tables import table
 
@@ -54,12 +55,12 @@ _UPLOADED = f"""{REPORTS}, uploaded AS (SELECT report_id + 2 AS line_no, hn, iss
       CASE WHEN min(n) = max(n) THEN min(n)::varchar ELSE min(n) || ' - ' || max(n) END AS lines FROM runs GROUP BY code, g""",
 )
 def duplicate_stage(spark, folder):
-    """An upload without other faults, against stored reports of the first year."""
+    """An upload without other faults, against the index of the identities of the first year's reports."""
     upload = roles.upload(spark, folder)
     first, _ = roles.span(spark, folder)
     stored = upload.withColumns({c: parse_date(F.col(c)) for c in quality.DATES}).filter(F.year("date_of_submission") == first)
     stored = stored.withColumn("submitted_sample", quality.clean_specimen(F.col("submitted_sample")))
-    return quality.quality_report(upload, "GN", stored, min_rows=1)
+    return quality.quality_report(upload, "GN", stored_identities(spark, stored), min_rows=1)
 
 
 @query(
