@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labspark.operators import resample as rs
+from labspark.operators.reshape import wide_report
 from labspark.operators.split import quota_split, split_by_label
 from labspark.plans import roles, train
 from labspark.plans.queries_resample import _TWO_CLASSES, rare_and_rest
@@ -113,7 +114,7 @@ def training_run(spark, folder):
     base = roles.reports(spark, folder).filter("panel = 1").join(types, "report_id").select(
         "report_id", "type", "species", F.col("genus").alias("bacteria_genus"), F.col("sample").alias("submitted_sample"), F.col("batch_id").alias("file_id"), F.col("panel").alias("vitek_id")
     )
-    wide = base.join(roles.wide_facts(spark, folder, roles.FLAG_SYMBOLS), "report_id", "left")
+    wide = wide_report(base, roles.wide_facts(spark, folder, roles.FLAG_SYMBOLS))
     labels = roles.labels(spark, folder)
     assigned = split_by_label(cases.join(types.filter("type = 'train'"), "report_id", "left_semi"), roles.answers(spark, folder), labels).select("report_id", "label", "sub_type")
     small = F.length("label") > 5

@@ -22,7 +22,7 @@ def refresh(path: str, reports: DataFrame, facts: DataFrame, names: list[str], c
 
     `reports` has report_id, panel, file_id and the case columns, `facts` report_id, label,
     symbol and answer. Only facts of the changed batches are pivoted. Returns the number of
-    partitions written.
+    partitions written. A batch that lost all its reports keeps its partition until it is set inactive.
     """
     if changed is not None:
         reports = reports.join(bounded(changed.select(*BY).distinct()), BY, "left_semi")

@@ -108,9 +108,14 @@ class IdentityIndex:
         return rows.select(F.xxhash64(*self.keys).alias("hash"), *self.keys).withColumn(PART, part_of(self.keys, self.parts))
 
     def add(self, rows: DataFrame, file_id: int) -> None:
-        """Store the identities of a batch; those of the same batch that are there already are replaced."""
-        found = self._hashed(rows.select(*self.keys).distinct()).withColumn("file_id", F.lit(file_id).cast("long"))
-        rewrite(found, self.path, [PART, "file_id"])
+        """Store the identities of a batch; those of the same batch that are there already are replaced.
+
+        A part that the batch had rows in, and has none in now, keeps a row without hash, which equals no identity.
+        """
+        found = checkpointed(self._hashed(rows.select(*self.keys).distinct()).withColumn("file_id", F.lit(file_id).cast("long")))
+        old = read(rows.sparkSession, self.path, self._stored()).filter(F.col("file_id") == file_id).select(PART, "file_id").distinct()
+        left = old.join(found.select(PART).distinct(), PART, "left_anti")
+        rewrite(found.unionByName(left, allowMissingColumns=True), self.path, [PART, "file_id"])
 
     def among(self, rows: DataFrame, batches: DataFrame | None = None) -> DataFrame:
         """Identities held of those parts that the rows' identities fall into, of the given batches (column file_id) or of all."""
