@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.llm.common import content
-from labspark.session import bounded, checkpointed
+from labspark.session import MAX_BROADCAST_BYTES, bounded, checkpointed
 
 WINDOW = 10
 #: Bits of the filter that tells which terms are asked for. It has a fixed size; what passes by chance is dropped by joins.
@@ -202,6 +202,13 @@ def _verified(found: DataFrame, check: Callable, schema: str) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
+def _sent(asked: DataFrame) -> DataFrame:
+    """`asked` broadcast if its rows and lists are within MAX_BROADCAST_BYTES by count, before any row is fetched; else joined by shuffle."""
+    size = F.aggregate("asked", F.lit(32).cast("long"), lambda n, a: n + 64 + 4 * F.size(a["begins"]) + 8 * F.coalesce(F.size(a["terms"]), F.lit(0)))
+    held = asked.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(asked) if held <= MAX_BROADCAST_BYTES else asked.hint("merge")
+
+
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, slack: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Windows of `items` in `docs`: (documents, matches, windows).
 
@@ -235,7 +242,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     )
     asked = checkpointed(asked).withColumnsRenamed({"doc_id": "d", "content": "c"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))
-    met_texts = rows.join(bounded(asked), same).select("doc_id", "content", "text", "asked")
+    met_texts = rows.join(_sent(asked), same).select("doc_id", "content", "text", "asked")
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, content long, found array<struct<phrase:binary,size:int,begins:array<int>>>"
     found = checkpointed(_verified(met_texts, phrase_at if slack is None else near_at(slack), schema).filter(F.size("found") > 0))

@@ -104,3 +104,10 @@ def test_near_matches(spark):
     names = {phrases._phrase([w.encode() for w in window]): window for window in windows(items, 3)}
     got = {(r.doc_id, names[r.phrase], b) for r in matches.collect() for b in r.begins}
     assert got == near(docs, items, 3, 2)
+
+
+def test_places_join_by_shuffle_beyond_the_bound(spark, monkeypatch):
+    docs, items = [(i, f"one two three {i}") for i in range(20)], [(1, "two three")]
+    assert "broadcast" in phrases._sent(spark.createDataFrame([([("p", 1, [1], None)],)], "asked array<struct<phrase:string,size:int,begins:array<int>,terms:array<bigint>>>"))._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr(phrases, "MAX_BROADCAST_BYTES", 0)
+    assert contamination(spark, docs, items, 2) == brute(docs, items, 2)
