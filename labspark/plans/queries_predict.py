@@ -117,10 +117,9 @@ def training_run(spark, folder):
     wide = wide_report(base, roles.wide_facts(spark, folder, roles.FLAG_SYMBOLS))
     labels = roles.labels(spark, folder)
     assigned = split_by_label(cases.join(types.filter("type = 'train'"), "report_id", "left_semi"), roles.answers(spark, folder), labels).select("report_id", "label", "sub_type")
-    small = F.length("label") > 5
     settings = table(spark, folder, "part").select(F.col("p_type").alias("label")).distinct().select(
         "label", F.lit("XGBClassifier").alias("algorithm"), F.lit(2).alias("n_estimators"), F.lit(2).alias("max_depth"), F.lit(0.1).alias("learning_rate"), F.lit(1.0).alias("subsample"),
-        F.lit(1.0).alias("colsample_bytree"), F.lit(0.0).alias("gamma"), F.lit(0).alias("random_state"), F.when(small, "SMOTE").otherwise("ADASYN").alias("smote"), F.lit(0).alias("smote_random_state"),
+        F.lit(1.0).alias("colsample_bytree"), F.lit(0.0).alias("gamma"), F.lit(0).alias("random_state"), F.when(F.col("label") == "PROMO", "ADASYN").otherwise("SMOTE").alias("smote"), F.lit(0).alias("smote_random_state"),
     )
     batches = base.select("file_id").distinct()
     _, tables = train.training_run(wide, assigned, labels, train.configurations(settings), scratch_path(spark, "models"), 1, 2, batches)
