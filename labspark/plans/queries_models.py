@@ -93,10 +93,11 @@ _HISTORY = f"""{LINES}, {METRICS}, history AS (
     FROM history)"""
 
 
-def _models(spark, folder):
-    """Models of all versions with the outcome against the champion of their time."""
+def _models(spark, folder, tests=None):
+    """Models of all versions with the outcome against the champion of their time; `tests` are the metrics, if they are at hand."""
     earlier = Window.partitionBy("label").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
-    history = roles.model_metrics(spark, folder).withColumn("_best", F.max("f1").over(earlier))
+    tests = roles.model_metrics(spark, folder) if tests is None else tests
+    history = tests.withColumn("_best", F.max("f1").over(earlier))
     return history.select(
         F.concat_ws("-", "label", F.col("version").cast("string")).alias("model_id"),
         F.col("label").alias("antimicrobial_id"),
@@ -112,9 +113,9 @@ def _champions(models, upto: int):
     return won.groupBy("antimicrobial_id").agg(F.max_by("model_id", "version").alias("model_id"))
 
 
-def _registry(spark, folder):
+def _registry(spark, folder, tests=None):
     """model, links and groups of one panel; group 0 holds the champions."""
-    models = bounded(_models(spark, folder))
+    models = bounded(_models(spark, folder, tests))
     links = models.select(F.col("version").alias("model_group_id"), "model_id").unionByName(
         _champions(models, roles.span(spark, folder)[1]).select(F.lit(0).alias("model_group_id"), "model_id")
     )
@@ -171,9 +172,10 @@ def perf_current(spark, folder):
 
     The rows of the newest batch are that test: every champion is re-tested on them.
     """
-    models, links, groups = _registry(spark, folder)
+    tests = roles.model_metrics(spark, folder)  # one pass over the facts, for the models and their last test
+    models, links, groups = _registry(spark, folder, tests)
     _, last = roles.span(spark, folder)
-    retest = roles.model_metrics(spark, folder).filter(F.col("version") == last)
+    retest = tests.filter(F.col("version") == last)
     pointed = _champions(models.withColumn("version", F.substring_index("model_id", "-", -1).cast("int")), last)
     current = pointed.join(retest.withColumnRenamed("label", "antimicrobial_id"), "antimicrobial_id").select(
         "model_id", *MEASURES, F.lit(last + 1).alias("version")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labspark.functions.values import display_time, parse_date
 from labspark.operators import logs, quality
-from labspark.operators.reshape import quoted
+from labspark.operators.reshape import ANSWER_PREFIX, quoted
 from labspark.operators.split import quota_split
 from labspark.plans import roles, train
 from labspark.plans.queries_quality import faulty_upload
@@ -32,12 +32,15 @@ def amount_stage(spark, folder):
 @query(
     "column_stage",
     f"""SELECT CAST(2 AS INTEGER) AS stage_no, 'column' AS stage, code, "column", {_NO_LINES} FROM (
-      SELECT 'missing_column' AS code, 'species' AS "column" UNION ALL SELECT 'missing_prefix', 'S/I/R_' UNION ALL SELECT 'unexpected_column', 'S/I/x')
+      SELECT 'missing_column' AS code, 'species' AS "column" UNION ALL SELECT 'missing_prefix', 'ans_'
+      UNION ALL SELECT 'unexpected_column', 'answer_' || p_type FROM (SELECT DISTINCT p_type FROM part))
     WHERE (SELECT count(*) FROM orders) >= 1""",
 )
 def column_stage(spark, folder):
-    df = faulty_upload(spark, folder).drop("species").withColumnRenamed("S/I/R_x", "S/I/x")
-    return quality.quality_report(df, "GN", min_rows=1)
+    """A wide upload with columns of the data's drugs, without species and with answers under another prefix."""
+    df = roles.upload(spark, folder).drop("species")
+    renamed = {c: f"answer_{c[len(ANSWER_PREFIX) :]}" for c in df.columns if c.startswith(ANSWER_PREFIX)}
+    return quality.quality_report(df.withColumnsRenamed(renamed), "GN", min_rows=1)
 
 
 _UPLOADED = f"""{REPORTS}, uploaded AS (SELECT report_id + 2 AS line_no, hn, issued, species, genus, sample, batch_id,
