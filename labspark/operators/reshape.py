@@ -43,6 +43,18 @@ def melt_flags(df: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
     return long.filter(F.lower(F.col("_flag").cast("string")) == "true").drop("_flag")
 
 
+def melt_facts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Results and true answers in one pass: keys, kind (the prefix), name and value; cells that say nothing are left out."""
+    columns = columns_with_prefix(df, RESULT_PREFIX, ANSWER_PREFIX)
+    cells = [F.col(quoted(c)).cast("string").alias(c) for c in columns]
+    long = df.select(*keys, *cells).unpivot(keys, [F.col(quoted(c)) for c in columns], "_column", "value")
+    result = F.col("_column").startswith(RESULT_PREFIX)
+    says = F.when(result, F.col("value").isin(*SYMBOLS)).otherwise(F.lower("value") == "true")
+    kind = F.when(result, RESULT_PREFIX).otherwise(ANSWER_PREFIX)
+    name = F.expr(f"substring(_column, if(startswith(_column, '{RESULT_PREFIX}'), {len(RESULT_PREFIX) + 1}, {len(ANSWER_PREFIX) + 1}))")
+    return long.filter(says).select(*keys, kind.alias("kind"), name.alias("name"), "value")
+
+
 def pivot_flags(long: DataFrame, key: str, name: str, names: list[str]) -> DataFrame:
     """One boolean column per name: true where a row exists, else false."""
     wide = long.groupBy(key).pivot(name, names).agg(F.max(F.lit(True)))

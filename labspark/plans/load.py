@@ -12,7 +12,7 @@ from labspark.functions.values import PANELS, parse_date
 from labspark.operators.dims import assign_keys, get_or_create, lookup_or_other, with_ids
 from labspark.operators.numbering import number_rows
 from labspark.operators.quality import identity, new_value_report, quality_report
-from labspark.operators.reshape import infer_symbol_type, melt_flags, melt_symbols, with_sub_type
+from labspark.operators.reshape import ANSWER_PREFIX, RESULT_PREFIX, infer_symbol_type, melt_facts, with_sub_type
 from labspark.operators.split import split_by_case, split_by_label
 from labspark.session import bounded, checkpointed, distinct_values
 from labspark.sources.stored import IdentityIndex
@@ -103,13 +103,15 @@ def ingest(
     )
     report = checkpointed(split_by_case(report, seed=seed))
 
-    symbols = melt_symbols(upload, ["report_id"])
+    # Results and answers leave the wide rows once; dimensions and facts read the long table.
+    facts = checkpointed(melt_facts(upload, ["report_id"]))
+    symbols = facts.filter(F.col("kind") == RESULT_PREFIX).select("report_id", "name", F.col("value").alias("symbol"))
     drugs = bounded(sir_drugs(symbols, dims.antimicrobial_sir))
     drug_ids = drugs.select(F.col("id").alias("antimicrobial_id"), "name", "sir_type_id")
     typed = with_sub_type(symbols.join(drug_ids, "name"), dims.sir_sub_type)
     report_sir = typed.select("report_id", "antimicrobial_id", "sir_sub_id")
 
-    flags = melt_flags(upload, ["report_id"])
+    flags = facts.filter(F.col("kind") == ANSWER_PREFIX).select("report_id", "name")
     answers = bounded(get_or_create(flags, "name", dims.antimicrobial_answer))
     report_answer = (
         with_ids(flags, "name", answers, "antimicrobial_id").select("report_id", "antimicrobial_id")
