@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labspark.operators.reshape import quoted
 from labspark.session import bounded
 
 #: At most so many labelled documents are learnt from: those of lowest text hash.
@@ -20,7 +22,7 @@ THRESHOLD = 0.3
 #: Documents whose cosines are taken at once.
 BLOCK = 256
 
-# Classes of bytes; a term is a pair of neighbouring classes, or one of the two counts of repeated words.
+# Classes of bytes. Terms of style are pairs of neighbouring classes and two counts of repeated words; the others are words.
 _CLASSES = np.full(256, 0, np.uint8)
 for _code, _members in enumerate(
     [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\t\r\x0b\x0c", b"\n", b".,;:?", b"!", b"|"]
@@ -31,7 +33,12 @@ for _code, _members in enumerate(
 _CLASSES[128:192] = _CLASSES.max() + 1
 _CLASSES[192:] = _CLASSES.max() + 1
 _WIDTH = int(_CLASSES.max()) + 1
-TERMS = _WIDTH * _WIDTH + 2
+STYLE = _WIDTH * _WIDTH + 2
+#: Counts that words and pairs of neighbouring words share by hash.
+WORDS = 2_048
+TERMS = STYLE + WORDS
+#: What style and words count for in a document's vector.
+BLOCK_WEIGHTS = (0.7, 1.0)
 
 
 def terms(text: bytes | None) -> np.ndarray:
@@ -43,11 +50,38 @@ def terms(text: bytes | None) -> np.ndarray:
     if len(codes) > 1:
         out[: _WIDTH * _WIDTH] = np.bincount(codes[:-1] * _WIDTH + codes[1:], minlength=_WIDTH * _WIDTH)
     words = text.lower().split()
-    out[-2] = sum(map(bytes.__eq__, words, words[1:]))
-    out[-1] = len(words) - len(set(words))
+    out[STYLE - 2] = sum(map(bytes.__eq__, words, words[1:]))
+    out[STYLE - 1] = len(words) - len(set(words))
+    codes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    out[STYLE:] = np.bincount(np.concatenate([codes, codes[:-1] * 31 + codes[1:]]) % WORDS, minlength=WORDS)
     return out
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.where(norms > 0, norms, 1)
+    return rows
+
+
+def _weighted(counts: np.ndarray, weights: np.ndarray, style: int) -> np.ndarray:
+    """Counts in place as weighted logarithms; the first `style` columns and the others are each brought to their block's length."""
+    np.log1p(counts, out=counts)
+    counts *= weights
+    for block, weight in zip((counts[:, :style], counts[:, style:]), BLOCK_WEIGHTS):
+        _unit(block)
+        block *= weight
+    return _unit(counts)
+
+
+def leading_axes(rows: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors by subspace iteration from a fixed start; no matrix beyond a few times `count` columns is made."""
+    axes = np.random.default_rng(0).standard_normal((rows.shape[1], min(count + 8, *rows.shape))).astype(rows.dtype)
+    for _ in range(rounds):
+        axes, _ = np.linalg.qr(rows.T @ (rows @ axes))
+    _, _, turn = np.linalg.svd(rows @ axes, full_matrices=False)
+    return np.ascontiguousarray((axes @ turn.T)[:, :count])
+
+
 @dataclass(frozen=True)
 class Votes:
     """A fitted classifier: the terms it knows, their weights, the projection, the labelled vectors and their labels.
@@ -64,23 +98,25 @@ class Votes:
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors in the latent space; a document without terms has the zero vector."""
-        weighted = np.log1p(counts[:, self.known]) * self.weights
-        norms = np.linalg.norm(weighted, axis=1, keepdims=True)
-        vectors = (weighted / np.where(norms > 0, norms, 1)) @ self.projection
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return vectors / np.where(norms > 0, norms, 1)
+        style = int(np.searchsorted(self.known, STYLE))
+        return _unit(_weighted(counts[:, self.known], self.weights, style) @ self.projection)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """Exact cosines with all labelled vectors, then the vote of the nearest, weighted by similarity."""
+        """Exact cosines with all labelled vectors, then the vote of the nearest, weighted by similarity; of equal ones the first count."""
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         if not len(self.labels):
             return np.full(len(counts), prior)
-        near = self.latent(counts) @ self.vectors.T
+        near = np.round(self.latent(counts) @ self.vectors.T, 9)  # the last digits depend on how many documents are taken at once
         k = min(self.neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, axis=1), 0.0) ** 8
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
+        equal = near == least
+        left = k - (near > least).sum(axis=1, keepdims=True)
+        kept = (near > least) | (equal & (np.cumsum(equal, axis=1) <= left))
+        weight = np.where(kept, np.maximum(near, 0.0), 0.0)
+        for _ in range(3):
+            weight *= weight
         total = weight.sum(axis=1)
-        vote = (weight * self.labels[best]).sum(axis=1)
+        vote = weight @ self.labels
         return np.where(total > 1e-9, vote / np.where(total > 1e-9, total, 1), prior)
 
 
@@ -106,20 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = np.flatnonzero(present)
     place = np.zeros(TERMS, np.int64)
     place[known] = np.arange(len(known))
-    counts = np.zeros((len(rows), len(known)))
+    counts = np.zeros((len(rows), len(known)), np.float32)
     for row, held in zip(counts, rows):
         row[place[held["term"]]] = held["n"]
     del rows, found
     weights = np.log((1 + len(counts)) / (1 + present[known])) + 0.2
-    weighted = np.log1p(counts) * weights
-    norms = np.linalg.norm(weighted, axis=1, keepdims=True)
-    weighted /= np.where(norms > 0, norms, 1)
-    # The leading singular vectors, from the small matrix of products between terms.
-    _, axes = np.linalg.eigh(weighted.T @ weighted)
-    del weighted
-    projection = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS])
-    every = np.arange(len(known))
-    vectors = Votes(every, weights, projection, np.zeros((0, 0)), y, NEIGHBOURS).latent(counts)
+    if not len(known) or not len(y):
+        return Votes(known, weights, np.zeros((len(known), 1)), np.zeros((len(y), 1)), y, NEIGHBOURS)
+    weighted = _weighted(counts, weights.astype(np.float32), int(np.searchsorted(known, STYLE)))
+    projection = leading_axes(weighted, DIMENSIONS).astype(float)
+    vectors = _unit((weighted @ projection.astype(np.float32)).astype(float))
     return Votes(known, weights, projection, vectors, y, NEIGHBOURS)
 
 
@@ -150,11 +182,14 @@ def with_scores(docs: DataFrame, model: Votes, text: str = "text", score: str =
     """`docs` with the score added: 0 to 1, higher means that label 1 is likelier.
 
     The text alone counts. Null and empty texts get the share of label 1 among the
-    labelled; all columns are passed on; an empty table gives no rows.
+    labelled; repeated rows get the same score. All columns are passed on, whatever their names; one that is
+    called like the score is replaced. A text is one row's work, of any length: its terms are counts of fixed
+    number. An empty table gives no rows.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    kept = [c for c in docs.columns if c != score]
+    at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes = sent.value
@@ -164,10 +199,12 @@ def with_scores(docs: DataFrame, model: Votes, text: str = "text", score: str =
                 votes.scores(np.stack([terms(t) for t in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)
             ]
             scores = np.clip(np.concatenate(parts) if parts else np.zeros(0), 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{score}` double")
+    # Columns go by plain names through Arrow, where a dot in a name would not do.
+    plain = docs.select(*[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(kept)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(run, f"{kinds}, score double").toDF(*kept, score)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

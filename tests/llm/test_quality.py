@@ -43,3 +43,32 @@ def test_nulls_empties_no_labels_and_clashing_columns(spark):
     none = quality.with_scores(docs, quality.fit(docs, labels.limit(0))).toPandas()
     assert none.score.tolist() == [0.5] * 4
     assert quality.with_scores(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_words_tell_texts_of_one_style_apart(spark):
+    """Same letters, lengths and marks; only the words differ."""
+    pick = np.random.default_rng(5)
+    good, bad = (["".join(pick.choice(list("abcdefgh"), 5)) for _ in range(60)] for _ in range(2))
+    rows = [(i, " ".join(pick.choice(good if i % 2 else bad, 40)) + ".", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:300]], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.with_scores(docs, quality.fit(docs, labels)).collect()}
+    assert np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in rows[300:]]) > 0.95
+
+
+def test_equal_neighbours_count_in_order():
+    """Of equal cosines on the edge the first labelled rows vote, however many documents are scored at once."""
+    counts = np.zeros((6, quality.TERMS))
+    counts[:, 5] = 1
+    labels = np.array([1.0, 1.0, 0, 0, 0, 0])
+    model = quality.Votes(np.arange(quality.TERMS), np.ones(quality.TERMS), np.eye(quality.TERMS)[:, :8], np.zeros((0, 0)), labels, 3)
+    model = quality.Votes(model.known, model.weights, model.projection, model.latent(counts), labels, 3)
+    assert np.allclose(model.scores(counts[:1]), 2 / 3) and np.allclose(model.scores(counts), 2 / 3)
+
+
+def test_very_long_text_and_a_column_like_the_score(spark):
+    docs = spark.createDataFrame([(1, "some words here. " * 100_000, "x", 7), (2, "other", "y", 8)], "doc_id long, text string, `a.b` string, score int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = quality.with_scores(docs, quality.fit(docs, labels))
+    assert got.columns == ["doc_id", "text", "a.b", "score"] and dict(got.dtypes)["score"] == "double"
+    assert sorted(r.doc_id for r in got.select("doc_id", "score").collect()) == [1, 2]
