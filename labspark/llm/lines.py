@@ -223,9 +223,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """`docs` with repeated lines taken out of `text`; _llm_lines and _llm_removed count lines.
 
-    All rows and columns stay. Null texts stay null; a text may become empty; an empty
-    table gives no rows. `content` of the result belongs to the new text.
+    All rows and columns stay; columns of the input that are called _llm_lines or _llm_removed
+    are replaced. Null texts stay null; a text may become empty; an empty table gives no rows.
+    A very long text is one row's work, in time that grows with its lines.
     """
+    docs = docs.drop("_llm_lines", "_llm_removed")
     gone = repeated_lines(docs, doc_id, text, threshold, max_bucket)
     lists = gone.distinct().groupBy("doc_id", "content").agg(F.collect_list("pos").alias("_llm_gone"))
     lists = lists.select(F.col("doc_id").alias("_llm_id"), F.col("content").alias("_llm_of"), "_llm_gone")

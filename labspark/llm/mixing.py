@@ -98,8 +98,10 @@ def mix(
     one is taken if that brings the sum nearer. The random number comes from id and text,
     so reruns agree and repeated rows share their fate. Null sources form one source,
     null texts have size 0, an empty table gives no rows. No source is sorted as a whole:
-    sums over slices of the ranking find the slice in which its target falls.
+    sums over slices of the ranking find the slice in which its target falls. A column of the
+    input that is called like an added one is replaced. Texts of any length are only counted.
     """
+    docs = docs.drop("_llm_size", "_llm_source_size", "_llm_target", "_llm_copies")
     names = ["_size", "_key", "_source", "_wanted", "_odds"]
     rows = checkpointed(sized(docs, doc_id, text, source, weight, seed).select(*names))
     sums = rows.groupBy(F.col("_source").alias("source")).agg(

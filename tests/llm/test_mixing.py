@@ -61,3 +61,9 @@ def test_nulls_ties_empties_and_clashing_columns(spark):
     assert twins._llm_copies.nunique() == 1
     assert got[got.source == "b"]._llm_target.tolist() == [0.0]
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_columns_like_the_added_ones_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two", "a", 9), (2, "word " * 200_000, "a", 9)], "doc_id long, text string, source string, _llm_size int")
+    got = {r.doc_id: r._llm_size for r in mixing.mix(docs).collect()}
+    assert got == {1: 2, 2: 200_000}

@@ -18,3 +18,8 @@ def test_places_are_sent_by_their_count(spark, monkeypatch):
     assert "broadcast" in lines._sent(wanted)._jdf.queryExecution().logical().toString()
     monkeypatch.setattr(lines, "MAX_BROADCAST_BYTES", 100 * 40 - 1)
     assert "broadcast" not in lines._sent(wanted)._jdf.queryExecution().logical().toString()
+
+
+def test_columns_like_the_added_ones_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "same words in this line\nx", "p"), (2, "same words in this line", "q")], "doc_id long, text string, _llm_lines string")
+    assert shown(lines.without_repeats(docs)) == [(1, 2, 0, "same words in this line\nx"), (2, 1, 1, "")]
