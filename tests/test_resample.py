@@ -69,6 +69,25 @@ def test_fewer_rows_than_k(spark):
     assert found(nearest(one, one, 5, "id", "vec")) == {}
 
 
+def test_many_groups_meet_in_pairs(spark, small_blocks, monkeypatch):
+    """Rows are sent by group, not by cell, and vectors meet by shuffle: none goes through the driver as a broadcast."""
+    monkeypatch.setattr(neighbors, "GROUP_ROWS", 12)
+    rng = np.random.default_rng(6)
+    labels = rng.integers(0, 2, size=120)
+    x = np.round(rng.normal(size=(120, 5)), 1) + labels[:, None]
+    df = frame(spark, x, labels)
+    rare = df.filter("label = 1")
+    got = nearest(rare, df, 4, "id", "vec")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "CoGroups" in plan
+    assert found(got) == {i: n for i, n in brute(np.arange(120), x, 4).items() if labels[i]}
+
+
+def test_groups_grow_only_where_one_would_be_too_large():
+    assert [neighbors._group_count(n, 64) for n in (0, 100, 20_000, 65_536, 500_000)] == [1, 1, 3, 8, 8]
+    assert neighbors._group_count(2_000_000, 64) == -(-2_000_000 * 512 // neighbors.GROUP_BYTES)
+
+
 @pytest.fixture(scope="module")
 def two_classes(spark):
     rng = np.random.default_rng(5)
