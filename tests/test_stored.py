@@ -103,3 +103,28 @@ def test_radial_margin_parts_rings(spark):
     inside = [r.margin for r in rs.kernel_margins(df, 1).collect()]
     outside = [r.margin for r in rs.kernel_margins(df.withColumn("label", 1 - F.col("label")), 1).collect()]
     assert min(inside) > 0 and min(outside) > 0
+
+
+@pytest.mark.parametrize("space", ["dense", "sets"])
+def test_kernel_similarities_by_batch(spark, space, monkeypatch):
+    """Similarities come from arrays of rows, not from a loop over values in each row."""
+    import numpy as np
+
+    monkeypatch.setattr(rs, "KERNEL_ROWS", 3)
+    if space == "dense":
+        rows = [[float(i % 3), float(i), 0.5 * i] for i in range(10)]
+        away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+        kind, item = rs.DENSE, "double"
+    else:
+        rows = [[t for t in range(6) if (i >> t % 4) & 1] for i in range(10)]
+        away = lambda a, b: len(set(a) ^ set(b))
+        kind, item = rs.SETS, "bigint"
+    held, weights = [rows[1], rows[4], rows[0]], np.array([[1.0, 0.5], [-2.0, 0.0], [0.25, 3.0]])
+    df = spark.createDataFrame(list(enumerate(rows)), f"id long, vec array<{item}>").repartition(2)
+    out = rs.kernel_features(df, held, weights, 0.1, kind)
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        want = np.exp([-0.1 * away(rows[r.id], m) for m in held]) @ weights
+        assert np.allclose(r.kernel, want)
+    margins = {r.id: r.m for r in df.select("id", rs.kernel_margin(held, [1.0, -2.0, 0.25], 0.1, 0.5, kind).alias("m")).collect()}
+    assert np.allclose([margins[i] for i in range(10)], [np.exp([-0.1 * away(v, m) for m in held]) @ weights[:, 0] + 0.5 for v in rows])
