@@ -183,3 +183,9 @@ def test_several_smaller_classes(spark):
     df = frame(spark, rng.normal(size=(61, 3)) + labels[:, None], labels)
     counts = {r.label: r["count"] for r in resample.smote(df).groupBy("label").count().collect()}
     assert counts == {1: 28, 2: 31}
+
+
+def test_turns_are_not_broadcast(two_classes):
+    df, _, _ = two_classes
+    plan = resample.smote(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [neighbor_id" in plan
