@@ -70,7 +70,7 @@ def snapshot_top_priorities(spark, folder):
     WHERE rank <= 11""",
 )
 def snapshot_top_labels(spark, folder):
-    given = roles.lines(spark, folder).filter("l_linestatus = 'O'").select("report_id", "label")
+    given = roles.lines_by_report(spark, folder, "label", "l_linestatus").filter("l_linestatus = 'O'").select("report_id", "label")
     return rep.top_labels(_snapshot(spark, folder), given)
 
 
@@ -82,7 +82,7 @@ def snapshot_top_labels(spark, folder):
     FROM symbols JOIN cases USING (report_id) WHERE {_IN_SNAPSHOT} GROUP BY ALL""",
 )
 def snapshot_symbol_pivot(spark, folder):
-    flags = roles.lines(spark, folder).select("report_id", "label", F.col("l_returnflag").alias("flag"))
+    flags = roles.lines_by_report(spark, folder, "label", F.col("l_returnflag").alias("flag"))
     return rep.symbol_distribution(_snapshot(spark, folder), flags, ["A", "N", "R"])
 
 
