@@ -107,7 +107,7 @@ def dashboards_from_summaries(spark, folder):
     """All six dashboards of the newest snapshot from stored counts per batch: facts are read when a batch is loaded, never for a dashboard."""
     path = scratch_path(spark, "counts")
     reports = roles.reports(spark, folder)
-    facts = roles.lines(spark, folder).select("report_id", "label", F.col("l_returnflag").alias("flag"), (F.col("l_linestatus") == "O").alias("open"))
+    facts = roles.lines_by_report(spark, folder, "label", F.col("l_returnflag").alias("flag"), (F.col("l_linestatus") == "O").alias("open"))
     symbols = ["A", "N", "R"]
     summaries.store(summaries.report_counts(reports).unionByName(summaries.fact_counts(reports, facts, symbols)), path)
     links = roles.links(spark, folder)
