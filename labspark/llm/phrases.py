@@ -202,6 +202,17 @@ def _verified(found: DataFrame, check: Callable, schema: str) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
+def _candidates(rows: DataFrame, asked: np.ndarray) -> DataFrame:
+    """The rows whose `content` passes the filter: texts of other documents are not shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(sent.value, batch.column("content").to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _sent(asked: DataFrame) -> DataFrame:
     """`asked` broadcast if its rows and lists are within MAX_BROADCAST_BYTES by count, before any row is fetched; else joined by shuffle."""
     size = F.aggregate("asked", F.lit(32).cast("long"), lambda n, a: n + 64 + 4 * F.size(a["begins"]) + 8 * F.coalesce(F.size(a["terms"]), F.lit(0)))
@@ -242,7 +253,8 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     )
     asked = checkpointed(asked).withColumnsRenamed({"doc_id": "d", "content": "c"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))
-    met_texts = rows.join(_sent(asked), same).select("doc_id", "content", "text", "asked")
+    held = _candidates(rows, _asked(asked.select(F.col("c").alias("term"))))
+    met_texts = held.join(_sent(asked), same).select("doc_id", "content", "text", "asked")
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, content long, found array<struct<phrase:binary,size:int,begins:array<int>>>"
     found = checkpointed(_verified(met_texts, phrase_at if slack is None else near_at(slack), schema).filter(F.size("found") > 0))

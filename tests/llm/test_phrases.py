@@ -111,3 +111,15 @@ def test_places_join_by_shuffle_beyond_the_bound(spark, monkeypatch):
     assert "broadcast" in phrases._sent(spark.createDataFrame([([("p", 1, [1], None)],)], "asked array<struct<phrase:string,size:int,begins:array<int>,terms:array<bigint>>>"))._jdf.queryExecution().logical().toString()
     monkeypatch.setattr(phrases, "MAX_BROADCAST_BYTES", 0)
     assert contamination(spark, docs, items, 2) == brute(docs, items, 2)
+
+
+def test_only_texts_with_places_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MAX_BROADCAST_BYTES", 0)  # places beyond the bound
+    held, seen = "one two three four five six seven eight nine ten", []
+    docs = spark.createDataFrame([(i, f"w{i} " * 50 + (held if i % 50 == 0 else "")) for i in range(200)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", held)], "item_id string, text string")
+    whole = phrases._candidates
+    monkeypatch.setattr(phrases, "_candidates", lambda rows, asked: seen.append(whole(rows, asked)) or seen[0])
+    found = phrases.contamination(docs, items).filter("n_hit > 0").collect()
+    assert sorted(r.doc_id for r in found) == [0, 50, 100, 150] and {r.n_hit for r in found} == {10}
+    assert 4 <= seen[0].count() < 20
