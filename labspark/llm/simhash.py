@@ -102,14 +102,19 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 2, max_bucket: int =
     emitted = prints.select("fp", _ball(low, masks).alias("variant"), F.lit(0).alias("block")).unionByName(
         prints.select("fp", _ball(high, masks).alias("variant"), F.lit(1).alias("block"))
     )
-    sizes = emitted.groupBy("block", "variant").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = checkpointed(sizes)  # as a table, so that the join can split a hot variant
-    met = checkpointed(emitted.join(sizes, ["block", "variant"]))
+    buckets = emitted.groupBy("block", "variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    buckets = checkpointed(buckets.filter("n > 1"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    two = buckets.filter(f"n = 2 and n <= {max_bucket}").filter(near).select("a", "b")
+    # Members of larger buckets come from the bucket's own ball, so that the variants are not shuffled again.
+    larger = buckets.filter(f"n > {min(2, max_bucket)}").select("block", "variant", "n", _ball(F.col("variant"), masks).alias("half"))
+    halves = prints.select("fp", F.lit(0).alias("block"), low.alias("half")).unionByName(prints.select("fp", F.lit(1).alias("block"), high.alias("half")))
+    met = checkpointed(halves.join(larger, ["block", "half"]).drop("half"))  # as a table, so that the join can split a hot variant
     cold, hot = met.filter(f"n <= {max_bucket}"), met.filter(f"n > {max_bucket}")
     left = cold.select("block", "variant", F.col("fp").alias("a"))
     right = cold.select("block", "variant", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = left.join(right, ["block", "variant"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    more = left.join(right, ["block", "variant"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = two.unionByName(more).distinct()
     return pairs.unionByName(stars(hot.select("fp").distinct()))
 
 

@@ -62,3 +62,13 @@ def test_nulls_ties_empties_and_clashing_columns(spark):
 def test_very_long_text():
     text = " ".join(f"w{i % 977}" for i in range(300_000))
     assert simhash.fingerprint(text.encode()) % (1 << 64) == brute.simhash(text)
+
+
+def test_buckets_of_two_link_without_a_second_look(spark, monkeypatch):
+    pick = random.Random(5)
+    ones = [pick.getrandbits(62) for _ in range(300)]
+    frame = spark.createDataFrame([(p,) for p in ones + [p ^ 0b101 for p in ones[:40]]], "fp long")
+    written, keep = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: written.append(keep(df)) or written[-1])
+    assert {(r.a, r.b) for r in simhash.links(frame).collect()} == {tuple(sorted((p, p ^ 0b101))) for p in ones[:40]}
+    assert written[-1].isEmpty()  # members met through the variants
