@@ -62,11 +62,13 @@ class Cells:
 def kind(cell: Column) -> Column:
     """The kind of a cell as a bit, 0 for null. A date must be a day of the calendar."""
     number = cell.rlike(_DECIMAL) | cell.rlike(_FLOAT)
+    # No number and no date begins with another character than these; most texts are told by it.
+    numeric = F.ascii(cell).between(ord("+"), ord("9"))
     return (
         F.when(cell.isNull(), 0)
+        .when(~numeric, F.when(cell.rlike(_BOOLEAN), BOOLEAN).otherwise(TEXT))
         .when(cell.rlike(_INTEGER), INTEGER)
         .when(number, DECIMAL)
-        .when(cell.rlike(_BOOLEAN), BOOLEAN)
         .when(cell.rlike(_DATE) & cell.try_cast("date").isNotNull(), DATE)
         .when(cell.rlike(_TIMESTAMP) & cell.try_cast("timestamp").isNotNull(), TIMESTAMP)
         .otherwise(TEXT)
@@ -74,20 +76,30 @@ def kind(cell: Column) -> Column:
 
 
 def cells(df: DataFrame, columns: list[str]) -> dict[str, Cells]:
-    """One aggregate over all cells of the text columns; one row reaches the driver."""
-    found = []
-    for i, c in enumerate(columns):
-        cell = F.col(quoted(c))
-        mantissa = F.regexp_replace(cell, r"[eE].*$|^[+-]", "")
-        number = cell.rlike(_INTEGER) | cell.rlike(_DECIMAL) | cell.rlike(_FLOAT)
-        whole = F.when(number, F.length(F.substring_index(mantissa, ".", 1)))
-        fraction = F.when(number & mantissa.contains("."), F.length(F.substring_index(mantissa, ".", -1)))
-        found += [
-            F.bit_or(kind(cell)).alias(f"k{i}"), F.max(whole).alias(f"w{i}"), F.max(fraction).alias(f"f{i}"),
-            F.max(cell.rlike(_FLOAT)).alias(f"e{i}"),
-        ]
-    row = df.agg(*found).first() if columns else {}
-    return {c: Cells(row[f"k{i}"] or 0, row[f"w{i}"] or 0, row[f"f{i}"] or 0, bool(row[f"e{i}"])) for i, c in enumerate(columns)}
+    """One aggregate over all cells of the text columns, as rows of place and cell: one small expression looks at each cell once.
+
+    One row per column reaches the driver.
+    """
+    if not columns:
+        return {}
+    long = df.select(F.posexplode(F.array(*[F.col(quoted(c)) for c in columns])).alias("at", "cell")).filter("cell is not null")
+    told = long.select("at", "cell", kind(F.col("cell")).alias("kind"))
+    number = F.col("kind").isin(INTEGER, DECIMAL)
+    exponent = F.col("cell").contains("e") | F.col("cell").contains("E")
+    unsigned = F.when(F.substring("cell", 1, 1).isin("+", "-"), F.expr("substring(cell, 2)")).otherwise(F.col("cell"))
+    mantissa = F.when(exponent, F.substring_index(F.substring_index(unsigned, "e", 1), "E", 1)).otherwise(unsigned)
+    parts = told.select(
+        "at", "kind", F.when(number, mantissa).alias("digits"), ((F.col("kind") == DECIMAL) & exponent).alias("exponent")
+    )
+    point = F.instr("digits", ".")
+    found = parts.select("at", "kind", F.length("digits").alias("length"), point.alias("point"), "exponent").groupBy("at").agg(
+        F.bit_or("kind").alias("kinds"),
+        F.max(F.when(F.col("point") > 0, F.col("point") - 1).otherwise(F.col("length"))).alias("whole"),
+        F.max(F.when(F.col("point") > 0, F.col("length") - F.col("point"))).alias("fraction"),
+        F.max("exponent").alias("exponent"),
+    )
+    rows = {r["at"]: Cells(r["kinds"], r["whole"] or 0, r["fraction"] or 0, r["exponent"]) for r in found.collect()}
+    return {c: rows.get(i, Cells(0, 0, 0, False)) for i, c in enumerate(columns)}
 
 
 def inferred(df: DataFrame, keep_text: list[str] | None = None) -> DataFrame:

@@ -52,3 +52,17 @@ def test_malformed_records_stay_text(spark, tmp_path):
     got = read_csv(spark, str(tmp_path), malformed="bad", typed=True)
     assert dict(got.dtypes)["bad"] == "string" and dict(got.dtypes)["a"] == "bigint"
     assert sorted(r.bad or "" for r in got.collect()) == ["", "", "3", "4,5,6"]
+
+
+def test_each_column_is_told_by_one_expression_of_fixed_size(spark, monkeypatch):
+    """The plan does not grow with the columns: a pattern stands in it once, not once per column and use."""
+    from labspark.sources import inference
+
+    seen, real = [], inference.kind
+    monkeypatch.setattr(inference, "kind", lambda cell: seen.append(cell) or real(cell))
+    df = spark.createDataFrame([("1", "-1.25", "x", None, "+2.5e3"), ("20", "7", "2020-01-01", None, "1E-2")], "a string, b string, c string, d string, e string")
+    found = inference.cells(df, df.columns)
+    assert len(seen) == 1
+    assert [(c.whole, c.fraction, c.exponent, c.type()) for c in found.values()] == [
+        (2, 0, False, "bigint"), (1, 2, False, "double"), (0, 0, False, "string"), (0, 0, False, "string"), (1, 1, True, "double")
+    ]
