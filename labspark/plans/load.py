@@ -90,7 +90,8 @@ def ingest(
     """
     # Numbered before it is taken apart: facts carry the report id and need no join. Written once on the way.
     upload = number_rows(upload, [F.col("line_no")], "report_id", last_report_id + 1)
-    base = normalise(upload)
+    # Cleaned once: the dimensions and the passes of the split read the cleaned columns.
+    base = checkpointed(normalise(upload))
     genus = bounded(get_or_create(base, "bacteria_genus", dims.bacteria_genus))
     sample = bounded(get_or_create(base, "submitted_sample", dims.submitted_sample))
 

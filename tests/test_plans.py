@@ -221,3 +221,17 @@ def test_retrain_gate(spark):
     ids = lambda *v: spark.createDataFrame([(i,) for i in v], "file_id int")
     assert not train.needs_training(ids(1, 2), ids(2, 1))
     assert train.needs_training(ids(1, 2, 3), ids(2, 1))
+
+
+def test_an_upload_is_cleaned_once(spark, monkeypatch, capsys):
+    """The split passes over its rows several times; cleaning texts is no part of what it passes over."""
+    seen, real = [], load.split_by_case
+    monkeypatch.setattr(load, "split_by_case", lambda reports, **k: seen.append(reports) or real(reports, **k))
+    rows = [(i, f"h{i}", "2020-01-02", "2020-01-03", " Dog", "Escherichia spp.", "Rt. ear (swab)", "GN", "+", "True") for i in range(2, 32)]
+    names = "line_no long, hn string, date_of_submission string, report_issued_date string, species string, bacteria_genus string, submitted_sample string, vitek_id string, `S/I/R_amikacin` string, ans_x string"
+    batch = load.ingest(spark.createDataFrame(rows, names), dimensions(spark), 1, 7)
+    capsys.readouterr()
+    seen[0].explain(True)
+    plan = capsys.readouterr().out
+    assert "report_id" in plan and "btrim" not in plan.lower() and "regexp" not in plan.lower() and "StringTrim" not in plan
+    assert batch.report.count() == 30 and batch.report_train.count() > 0
