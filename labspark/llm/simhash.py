@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.llm.common import WORD_BYTES, components, content
-from labspark.session import checkpointed
+from labspark.session import TASK_ROWS, checkpointed
 
-#: A variant bucket with more fingerprints than this is searched by whole balls, whose buckets need no pairs.
+#: A bucket with more fingerprints than this is searched by longer keys.
 MAX_BUCKET = 64
+#: There buckets may be so many times larger, as what is left is searched by whole balls: 2,081 rows a fingerprint.
+CLOSER = 8
+#: Keys as (first bit, width), counted cyclically: halves, and any two thirds. Each bit is in one half, and in two of the pairs.
+HALVES = ((0, 32), (32, 32))
+THIRDS = ((0, 43), (21, 43), (43, 42))
 SHINGLES_AT_ONCE = 200_000
 _LOWER = bytes(range(256)).lower()
 _WORDS = re.compile(WORD_BYTES)
@@ -69,53 +75,83 @@ def _ball(value: Column, masks: list[int]) -> Column:
     return F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: value.bitwiseXOR(m)))
 
 
+def _meet(prints: DataFrame, parts: tuple, reach: int, radius: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) at most `radius` bits apart, of those with keys at most twice `reach` apart; fingerprints of crowded buckets.
+
+    A bucket is a variant with the keys that reach it. Each key does so by a flip of its
+    own, so the flips' places, one bit each, tell a bucket's keys: no list grows with it
+    and nothing is looked up. A pair with a key or bucket of over `most` fingerprints
+    may be missing; both are then in the second table, which is written.
+    """
+    flips = _flips(max(width for _, width in parts), reach)
+    words = range(0, len(flips), 64)
+    fp = F.col("fp")
+    cut = [
+        F.shiftrightunsigned(fp, at).bitwiseOR(F.shiftleft(fp, 64 - at)).bitwiseAND(F.lit((1 << width) - 1)) for at, width in parts
+    ]
+    keyed = prints.select("fp", F.posexplode(F.array(*cut)).alias("block", "key"))
+    keys = checkpointed(keyed.groupBy("block", "key").agg(F.count("*").alias("n")))
+    variants = F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("key").bitwiseXOR(m))
+    tasks = 1 + keys.count() * len(flips) // TASK_ROWS  # small files of keys would be read by few tasks
+    emitted = keys.repartition(tasks, "block", "key").select("block", "n", F.posexplode(variants).alias("flip", "variant"))
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("flip"))  # by the flip's lowest six bits
+    told = [F.bit_or(F.when(F.col("flip").between(w, w + 63), place).otherwise(0)).alias(f"flips{w}") for w in words]
+    buckets = emitted.groupBy("block", "variant").agg(F.sum("n").alias("n"), *told)
+    buckets = checkpointed(buckets.filter(sum(F.bit_count(f"flips{w}") for w in words) > 1))
+
+    def used(w: int) -> Column:
+        return F.filter(F.array(*map(F.lit, flips[w : w + 64])), lambda _, i: F.bit_get(F.col(f"flips{w}"), i) == 1)
+
+    def later(x: Column, i: Column) -> Column:
+        after = F.slice("keys", i + 2, F.size("keys") - i - 1)
+        return F.transform(F.filter(after, lambda y: x < y), lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    found = F.transform(F.concat(*map(used, words)), lambda m: F.col("variant").bitwiseXOR(m))
+    buckets = buckets.select("block", "n", found.alias("keys"))
+    # Two keys meet in two buckets, in one by the two flips in either order.
+    apart = buckets.filter(F.col("n") <= most).select("block", F.inline(F.flatten(F.transform("keys", later))))
+    same = keys.filter(F.col("n").between(2, most)).select("block", F.col("key").alias("x"), F.col("key").alias("y"))
+    left = keyed.select("block", F.col("key").alias("x"), F.col("fp").alias("a"))
+    right = keyed.select("block", F.col("key").alias("y"), F.col("fp").alias("b"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    once = (F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))
+    pairs = apart.unionByName(same).join(left, ["block", "x"]).join(right, ["block", "y"]).filter(near & once)
+    crowded = buckets.filter(F.col("n") > most).select("block", F.explode("keys").alias("key"))
+    crowded = crowded.unionByName(keys.filter(F.col("n") > most).select("block", "key"))
+    rest = keyed.join(crowded, ["block", "key"], "left_semi").select("fp").distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), checkpointed(rest)
+
+
 def links(prints: DataFrame, radius: int = 4, blocks: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Pairs (a, b) that join all fingerprints of `prints.fp` at most `radius` bits apart into their components.
 
     `prints` has distinct fingerprints. With one block every fingerprint emits the whole
     ball of half the radius, 2,081 variants at radius 4. With two blocks of 32 bits one
     block differs by at most half the radius, so each block's ball of a quarter of the
-    radius is enough: 66 variants. Fingerprints that meet in a variant are verified.
-    Buckets over `max_bucket` emit no pairs: their fingerprints are hashed by whole
-    balls, where all that meet are within the radius of each other and link to the
-    smallest. No pair is lost; links inside such a group are implied by its star.
+    radius is enough: 66 variants, emitted once for equal blocks. Fingerprints that meet
+    in a variant are verified. Those of buckets over `max_bucket` are searched again by
+    keys of two thirds of the bits, one of which differs by at most two thirds of the
+    radius: 132 variants. Only those of buckets over CLOSER times `max_bucket` there are
+    hashed by whole balls, where all that meet are within the radius of each other and
+    link to the smallest. No pair is lost; links inside such a group are implied by its star.
     """
     if blocks not in (1, 2):
         raise ValueError("blocks is 1 or 2")
-    half = radius // 2
-    far = radius - half
-    whole = _flips(64, max(half, far))
-
-    def stars(fps: DataFrame) -> DataFrame:
+    if radius % 2:
         # An odd radius needs a larger ball on one side, after which those that meet may be too far apart.
-        if half != far:
-            raise ValueError("whole balls need an even radius")
-        met = fps.select("fp", _ball(F.col("fp"), whole).alias("variant"))
+        raise ValueError("whole balls need an even radius")
+    found, rest = [], prints.select("fp")
+    if blocks == 2:
+        for parts, apart, most in ((HALVES, radius // 2, max_bucket), (THIRDS, 2 * radius // 3, CLOSER * max_bucket)):
+            pairs, rest = _meet(rest, parts, -(-apart // 2), radius, most)
+            found.append(pairs)
+            if rest.isEmpty():
+                break
+    if not found or not rest.isEmpty():
+        met = rest.select("fp", _ball(F.col("fp"), _flips(64, radius // 2)).alias("variant"))
         low = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top")
-        return met.join(low.drop("top"), "variant").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-
-    if blocks == 1:
-        return stars(prints.select("fp"))
-    low32, reach = (1 << 32) - 1, -(-half // 2)
-    masks = _flips(32, reach)
-    low, high = F.col("fp").bitwiseAND(low32), F.shiftrightunsigned("fp", 32)
-    emitted = prints.select("fp", _ball(low, masks).alias("variant"), F.lit(0).alias("block")).unionByName(
-        prints.select("fp", _ball(high, masks).alias("variant"), F.lit(1).alias("block"))
-    )
-    buckets = emitted.groupBy("block", "variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    buckets = checkpointed(buckets.filter("n > 1"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    two = buckets.filter(f"n = 2 and n <= {max_bucket}").filter(near).select("a", "b")
-    # Members of larger buckets come from the bucket's own ball, so that the variants are not shuffled again.
-    larger = buckets.filter(f"n > {min(2, max_bucket)}").select("block", "variant", "n", _ball(F.col("variant"), masks).alias("half"))
-    halves = prints.select("fp", F.lit(0).alias("block"), low.alias("half")).unionByName(prints.select("fp", F.lit(1).alias("block"), high.alias("half")))
-    met = checkpointed(halves.join(larger, ["block", "half"]).drop("half"))  # as a table, so that the join can split a hot variant
-    cold, hot = met.filter(f"n <= {max_bucket}"), met.filter(f"n > {max_bucket}")
-    left = cold.select("block", "variant", F.col("fp").alias("a"))
-    right = cold.select("block", "variant", F.col("fp").alias("b"))
-    more = left.join(right, ["block", "variant"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    pairs = two.unionByName(more).distinct()
-    return pairs.unionByName(stars(hot.select("fp").distinct()))
+        found.append(met.join(low.drop("top"), "variant").filter("fp <> a").select("a", F.col("fp").alias("b")))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4) -> DataFrame:

@@ -72,3 +72,23 @@ def test_buckets_of_two_link_without_a_second_look(spark, monkeypatch):
     monkeypatch.setattr(simhash, "checkpointed", lambda df: written.append(keep(df)) or written[-1])
     assert {(r.a, r.b) for r in simhash.links(frame).collect()} == {tuple(sorted((p, p ^ 0b101))) for p in ones[:40]}
     assert written[-1].isEmpty()  # members met through the variants
+
+
+def test_crowded_halves_are_searched_by_longer_keys(spark, monkeypatch):
+    """100 fingerprints with one lower half, 20 of them beside another one: no whole balls, no row for each variant."""
+    pick = random.Random(9)
+    high = [pick.getrandbits(31) << 32 for _ in range(100)]
+    prints = [h | 77 for h in high] + [(h ^ 0b1011 << 33) | 76 for h in high[:20]]
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    written, keep = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(simhash, "_ball", lambda *_: pytest.fail("whole balls"))
+    found = {(r.a, r.b) for r in simhash.links(frame).collect()}
+    assert found == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4}
+    assert len(found) == 20
+    assert max(df.count() for df in written) <= 3 * len(prints)
+
+
+def test_thirds_hold_each_bit_twice():
+    held = [(at + i) % 64 for at, width in simhash.THIRDS for i in range(width)]
+    assert sorted(held) == sorted([*range(64), *range(64)])
